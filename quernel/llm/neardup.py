@@ -5,16 +5,18 @@ a Jaccard similarity of 3/4 or more. Documents of equal sets are one class
 from the start. Among classes:
 
 1. A sketch keeps the SKETCH least hashes of the set. Linked sets share at
-   least `least_overlap` of them (surely if both sets are whole in their
-   sketches, else but for a chance of about 1e-9).
+   least `SURE_OVERLAP` of them (surely if both sets are whole in their
+   sketches, else but for a chance of about 1e-8).
 2. Inverted lists of retained values generate overlaps. A class enters only
    the lists of its rarest values, so many that two classes of that overlap
    still meet in one: values of widespread passages make no lists of their own.
-3. First every list's members are tried against the list's least class, which
-   is linear in the list. Links that hold join most of a group. Then only
-   members of different components meet, in tiles of bounded size.
-4. The sketch of the union estimates the similarity; what may reach 3/4 is
-   verified on the whole sets. Components of the verified links are the groups.
+3. Lists with the same least member are one block, so that a group whose
+   members share many values is looked at once. Blocks over TILE members are
+   dealt to pairs of tiles.
+4. In a block the sketch of the union estimates similarities. What may reach
+   3/4 is verified on the whole sets, likeliest first, unless links found
+   before join the two already: a block yields no more links than members.
+   Components of the links are the groups.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.llm.common import WordHashes, batch_of, forget, materialize, mix, slim
@@ -36,7 +38,11 @@ SKETCH = 64
 SURE_OVERLAP = 27
 #: An estimate from 64 values this far below 3/4 is 4.6 standard deviations off.
 SURE_ESTIMATE = 0.5
+#: Linked sketches, as sets, are at least this similar: 27 shared of 64 and 64.
+LEAST_FIRST = SURE_OVERLAP / (2 * SKETCH - SURE_OVERLAP)
 TILE = 512
+#: Small blocks go to Python together, about so many rows at a time.
+ROWS_PER_CALL = 2000
 #: A table of ids of up to this many rows may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -86,68 +92,119 @@ def sketched(docs: DataFrame) -> DataFrame:
     return slim(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sig binary, sketch array<long>")
 
 
-def _near_sizes(a: Column, b: Column) -> Column:
-    return F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
-
-
 def lists(classes: DataFrame) -> DataFrame:
-    """(v, sig, n): the inverted lists of at least two members, each class in those of its rarest values."""
-    postings = classes.select("sig", F.col("n_shingles").alias("n"), F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    """(v, id): the inverted lists of at least two members, each class in those of its rarest values."""
+    postings = classes.select("id", F.explode("sketch").alias("v"))
     shared = postings.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    common = postings.join(shared, "v")
-    own = Window.partitionBy("sig")
+    common = postings.join(shared, "v").join(classes.select("id", F.col("n_shingles").alias("n"), F.size("sketch").alias("k")), "id")
+    own = Window.partitionBy("id")
     least = F.least(F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]), F.lit(SURE_OVERLAP))
+    # values of no other class are rarer than all others: they come first
     rank = F.row_number().over(own.orderBy("df", "v")) + F.col("k") - F.count(F.lit(1)).over(own)
-    return common.withColumn("rank", rank).where(F.col("rank") <= F.col("k") - least + 1).select("v", "sig", "n")
-
-
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity as the bottom of the union shows it; exact if both sets are whole in their sketches."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return both / F.size(union)
+    return common.withColumn("rank", rank).where(F.col("rank") <= F.col("k") - least + 1).select("v", "id")
 
 
-_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def blocks(members: DataFrame) -> DataFrame:
+    """(head, id): for the least member of each list, all that share such a list with it, itself included."""
+    heads = members.groupBy("v").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    return members.join(heads, "v").select("head", "id").distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of candidate pairs (a, b) those that may link by their sketches and do by their whole sets."""
-    sketch = classes.select("sig", "n_shingles", "sketch")
-    left = sketch.select(F.col("sig").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    right = sketch.select(F.col("sig").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
-    likely = pairs.join(left, "a").join(right, "b").where(_near_sizes(F.col("na"), F.col("nb")))
-    # sort_array is signed, and so is the order that sketches keep once bits are flipped
-    flip = lambda c: F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(2**63))))
-    likely = materialize(likely.where(estimate(flip(F.col("sa")), flip(F.col("sb"))) >= SURE_ESTIMATE).select("a", "b"), "likely")
-    needed = likely.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    wanted = needed.join(classes.select("sig", "doc_id"), "sig").select(F.col("doc_id").alias("wanted"))
-    wanted = materialize(wanted.distinct(), "wanted")
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sig, members) of the documents with the wanted doc_ids, members as bytes of ascending hashes."""
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = slim(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
 
-    def whole(batches):
+    def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(t, hashes) for t in batch.column(0).to_pylist()]
+            sets = [s for s in (shingles(t, hashes) for t in batch.column(0).to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "members"])
 
-    sets = texts.mapInArrow(whole, "sig binary, members binary")
-    sets = materialize(sets.where(F.col("sig").isNotNull()).dropDuplicates(["sig"]), "sets")
-    both = likely.join(sets.select(F.col("sig").alias("a"), F.col("members").alias("ma")), "a")
-    both = both.join(sets.select(F.col("sig").alias("b"), F.col("members").alias("mb")), "b")
-
-    def verify(batches):
-        for batch in batches:
-            a, b, ma, mb = (batch.column(i).to_pylist() for i in range(4))
-            held = [(x, y) for x, y, p, q in zip(a, b, ma, mb, strict=True) if similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64))]
-            yield batch_of(_LINK, held)
-
-    links = materialize(both.select("a", "b", "ma", "mb").mapInArrow(verify, "a binary, b binary"), "links")
-    for table in (likely, sets):
+    return texts.mapInArrow(run, "sig binary, members binary")
+
+
+def _sketch_similarities(sketches: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of every two sketches as sets: a first look, without their union's order."""
+    lengths = np.array([len(s) for s in sketches])
+    _, where, counts = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    useful = counts > 1
+    column = np.cumsum(useful) - 1
+    keep = useful[where]
+    has = np.zeros((len(sketches), int(useful.sum())), np.float32)
+    has[np.repeat(np.arange(len(sketches)), lengths)[keep], column[where[keep]]] = 1
+    shared = has @ has.T
+    return shared / (lengths[:, None] + lengths - shared)
+
+
+def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity as the bottom SKETCH of two sketches' union shows it; exact if both sets are whole in theirs."""
+    both = np.sort(np.concatenate([a, b]))
+    twice = both[1:] == both[:-1]
+    union = both[np.concatenate([[True], ~twice])][:SKETCH]
+    return float(np.count_nonzero(both[1:][twice] <= union[-1]) / len(union))
+
+
+def block_links(ids: list, sizes: np.ndarray, sketches: list[np.ndarray], members: list[bytes], tiles: np.ndarray) -> list[tuple]:
+    """Verified links that join what can be joined in a block; of two tiles only pairs across."""
+    first = _sketch_similarities(sketches)
+    near = np.minimum(sizes[:, None], sizes) * SIMILAR[1] >= np.maximum(sizes[:, None], sizes) * SIMILAR[0]
+    likely = np.triu(near & (first >= LEAST_FIRST), 1)
+    if tiles.min() != tiles.max():
+        likely &= tiles[:, None] != tiles
+    left, right = np.nonzero(likely)
+    order = np.argsort(-first[left, right], kind="stable")
+    parent = list(range(len(ids)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    sets: dict[int, np.ndarray] = {}
+    found = []
+    for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
+        a, b = root(i), root(j)
+        if a == b or union_estimate(sketches[i], sketches[j]) < SURE_ESTIMATE:
+            continue
+        for k in (i, j):
+            if k not in sets:
+                sets[k] = np.frombuffer(members[k], np.uint64)
+        if similar(sets[i], sets[j]):
+            parent[max(a, b)] = min(a, b)
+            found.append((ids[i], ids[j]))
+    return found
+
+
+def verified_links(paired: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) by sig: links, verified on whole sets, whose components are those of all links."""
+    needed = paired.select("id").distinct()
+    wanted = materialize(classes.join(needed, "id", "left_semi").select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
+    sets = materialize(whole_sets(docs, wanted).dropDuplicates(["sig"]), "sets")
+    sizes = paired.groupBy("head").agg(F.count(F.lit(1)).alias("size"))
+    tiled = paired.join(sizes.select("head", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "head")
+    tile = F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("id"), F.col("tiles"))).otherwise(0).cast("int")
+    dealt = tiled.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    calls = max(1, paired.count() // ROWS_PER_CALL)
+    call = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("head"), F.lit(calls))).otherwise(F.col("head"))
+    dealt = dealt.select("head", call.alias("call"), F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id")
+    filled = dealt.join(classes.select("id", "sig", "n_shingles", "sketch"), "id").join(sets, "sig")
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, block in group.groupby("head", sort=True):
+            if len(block) > 1:
+                block = block.sort_values("sig")
+                sketches = [np.asarray(s, np.int64).view(np.uint64) for s in block["sketch"]]
+                found += block_links(block["sig"].to_list(), block["n_shingles"].to_numpy(), sketches, block["members"].to_list(), block["tile"].to_numpy())
+        return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]})
+
+    made = materialize(filled.groupBy("call", "t1", "t2").applyInPandas(links, "a binary, b binary"), "links")
+    for table in (wanted, sets):
         forget(table)
-    return links
+    return made
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -172,71 +229,23 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """Every list's members paired with its least class: linear in the list."""
-    heads = members.groupBy("v").agg(F.min(F.struct("sig", "n")).alias("head"))
-    paired = members.join(heads, "v").where((F.col("sig") != F.col("head.sig")) & _near_sizes(F.col("n"), F.col("head.n")))
-    return paired.select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).distinct()
-
-
-def across(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs from a list whose components differ and whose sketches overlap enough, tile by tile.
-
-    A list of more than TILE members is dealt over tiles by a hash of the
-    class; every two tiles meet in one task of at most about 2 * TILE rows.
-    """
-    named = members.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    mixed = named.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high"))
-    open_lists = named.join(mixed.select("v", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "v")
-    tile = F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = open_lists.withColumn("tile", tile).withColumn("other", other)
-    dealt = dealt.select("v", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "sig", "n", "label")
-    dealt = dealt.join(classes.select("sig", "sketch"), "sig")
-
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        found = _overlapping(group)
-        return pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]})
-
-    return dealt.groupBy("v", "t1", "t2").applyInPandas(pairs, "a binary, b binary").distinct()
-
-
-def _overlapping(group: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-    """Pairs of different components, of near sizes and of enough retained values in common."""
-    n = group["n"].to_numpy()
-    labels, tiles, sigs = pd.factorize(group["label"])[0], group["tile"].to_numpy(), list(group["sig"])
-    if labels.max(initial=0) == 0:
-        return []
-    lengths = group["sketch"].map(len).to_numpy()
-    _, value = np.unique(np.concatenate(group["sketch"].to_list()), return_inverse=True)
-    has = np.zeros((len(group), value.max() + 1), np.float32)
-    has[np.repeat(np.arange(len(group)), lengths), value] = 1
-    overlap = has @ has.T
-    least = np.minimum(np.ceil(n * SIMILAR[0] / SIMILAR[1]), SURE_OVERLAP)
-    cross = tiles[:, None] != tiles if len(set(tiles)) > 1 else np.ones((len(group), len(group)), bool)
-    near = np.minimum(n[:, None], n) * SIMILAR[1] >= np.maximum(n[:, None], n) * SIMILAR[0]
-    ok = (labels[:, None] != labels) & cross & near & (overlap >= np.maximum(least[:, None], least))
-    return [(min(sigs[i], sigs[j]), max(sigs[i], sigs[j])) for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True)]
-
-
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, label, component_id) of every row; label is null for texts without words."""
     base = materialize(sketched(docs), "sketched")
     full = base.where(F.col("sig").isNotNull())
     least_id = full.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     held = full.select("sig", "n_shingles", "sketch").dropDuplicates(["sig"])
-    classes = materialize(held.join(least_id, "sig"), "classes")
+    # a class goes by 64 bits of its sig where only candidates are made; two of the same would both be candidates
+    classes = materialize(held.join(least_id, "sig").withColumn("id", F.xxhash64("sig")), "classes")
     members = materialize(lists(classes), "lists")
-    near = verified(stars(members), classes, docs)
+    paired = materialize(blocks(members), "blocks")
+    near = verified_links(paired, classes, docs)
     labels = components(near)
-    more = verified(across(members, labels, classes), classes, docs)
-    if more.limit(1).count():
-        labels = components(near.union(more))
     label = F.coalesce("label", "sig")
     named = classes.select("sig", "doc_id").join(labels, "sig", "left").withColumn("label", label)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     placed = materialize(named.join(least, "label").select("sig", "label", "component_id"), "placed")
-    for table in (classes, members, near, more, labels):
+    for table in (classes, members, paired, near, labels):
         forget(table)
     slimmed = base.select("doc_id", "text_hash", "n_shingles", "sig")
     columns = ("doc_id", "text_hash", "n_shingles", "label", "component_id")
