@@ -1,0 +1,55 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from quernel.llm import langid
+from quernel.llm.common import documents
+
+
+def test_filter_holds_all_members_and_few_others():
+    rnd = np.random.default_rng(1)
+    members = {name: rnd.integers(1, 1 << 62, 5000).astype(np.uint64) for name in [f"l{i:02}" for i in range(11)]}
+    made = langid.Filter.build(members)
+    for i, name in enumerate(made.languages):
+        assert made.popcounts(members[name])[i] == 5000
+    false = made.popcounts(rnd.integers(1, 1 << 62, 50_000).astype(np.uint64)) / 50_000
+    assert np.allclose(false, made.rates, atol=0.005) and false.max() < 0.02
+
+
+def test_codes_are_exact_and_case_blind():
+    assert set(langid.codes("Ab").tolist()) == set(langid.codes("ab!").tolist())
+    a, b, blank = ord("a"), ord("b"), 32
+    assert langid.codes("ab").tolist() == [blank << 42 | a << 21 | b, a << 42 | b << 21 | blank]
+    whole = np.concatenate(list(langid.ngrams("some words " * 100)))
+    assert len(whole) == 900
+
+
+def test_held_out_accuracy(spark, sf):
+    docs = documents(spark, sf)
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    n, right = got.count(), got.where("lang = lang_pred").count()
+    assert n > 200 and right / n > 0.98
+
+
+def test_labels_are_no_input(spark, sf):
+    docs = documents(spark, sf)
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    plain = langid.predict(docs, model)
+    blind = langid.predict(docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None)), model)
+    assert plain.exceptAll(blind).count() == 0
+
+
+def test_odd_rows(odd, none, odd_rows):
+    got = langid.identify(odd).collect()
+    assert len(got) == len(odd_rows)
+    texts = {(i, t is None or not any(c.isalpha() for c in t)) for i, t, *_ in odd_rows}
+    for r in got:
+        assert (r.doc_id, r.lang_pred == "und") in texts and 0 <= r.score <= 1
+    assert langid.identify(none).count() == 0
+    assert langid.keep_known(none).columns == none.columns
+    kept = langid.keep_known(odd)
+    assert kept.columns == odd.columns and kept.where("text is null or trim(text) = ''").count() == 0
+
+
+def test_rejects_only_what_no_language_holds(spark, sf):
+    docs = documents(spark, sf)
+    assert langid.keep_known(docs).count() == docs.count()
