@@ -243,9 +243,11 @@ def grouped(docs: DataFrame) -> DataFrame:
     labels = components(near)
     label = F.coalesce("label", "sig")
     named = classes.select("sig", "doc_id").join(labels, "sig", "left").withColumn("label", label)
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join deals both sides anew and a hot label's part can be split
+    named = materialize(named, "named")
+    least = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     placed = materialize(named.join(least, "label").select("sig", "label", "component_id"), "placed")
-    for table in (classes, members, paired, near, labels):
+    for table in (classes, members, paired, near, labels, named, least):
         forget(table)
     slimmed = base.select("doc_id", "text_hash", "n_shingles", "sig")
     columns = ("doc_id", "text_hash", "n_shingles", "label", "component_id")
@@ -273,7 +275,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     rows = materialize(grouped(docs).where(F.col("label").isNotNull()).select("doc_id", "text_hash", "label"), "rows")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
-    chosen = rows.groupBy("label").agg(F.min(order).alias("kept"))
+    chosen = materialize(rows.groupBy("label").agg(F.min(order).alias("kept")), "chosen")
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
     gone = materialize(rows.join(chosen, "label").where(~same).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct(), "gone")
     if gone.count() <= BROADCAST_ROWS:
