@@ -41,7 +41,7 @@ def weighted_sum(value: Column, weight: Column) -> Column:
 def finish(total: Column, numeric: str) -> Column:
     """The result type, with zero as null."""
     if numeric == "wrap64":
-        total = F.pmod(total, F.lit(1 << 64).cast(T.DecimalType(20, 0))).cast(T.DecimalType(20, 0))
+        total = F.pmod(total, F.lit(str(1 << 64)).cast(T.DecimalType(20, 0))).cast(T.DecimalType(20, 0))
     total = F.nullif(total, F.lit(0).cast(total_type(numeric)))
     return total.cast("bigint") if numeric == "bigint" else total
 

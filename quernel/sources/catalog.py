@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,31 +17,37 @@ class Catalog:
     """An ordered list of relations; a relation's id is its place in it.
 
     Each is registered as the temp view r<id> with columns c0, c1, ... of
-    BIGINT, or DECIMAL(20,0) where values need all 64 unsigned bits.
+    BIGINT, or DECIMAL(20,0) where values need all 64 unsigned bits. A lazy
+    relation is opened when a query first names it.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self._relations: list[DataFrame] = []
+        self._relations: list[DataFrame | None] = []
+        self._openers: list[Callable[[], DataFrame] | None] = []
+        self._arities: list[int] = []
         self._duplication: dict[tuple[int, frozenset[int]], float] = {}
 
     def add(self, df: DataFrame, columns: Iterable[str] | None = None) -> int:
         """Register the named columns (all by default) and return the new id."""
         names = list(columns) if columns is not None else df.columns
-        casts = []
-        for i, name in enumerate(names):
-            kind = df.schema[name].dataType
-            keep = isinstance(kind, T.DecimalType) and kind.scale == 0
-            casts.append(F.col(f"`{name}`").cast(T.DecimalType(20, 0) if keep else T.LongType()).alias(f"c{i}"))
-        relation = df.select(*casts)
-        rel = len(self._relations)
-        self._relations.append(relation)
-        relation.createOrReplaceTempView(f"r{rel}")
+        rel = self.add_lazy(lambda: df, names)
+        self.get(rel)
         return rel
 
+    def add_lazy(self, opener: Callable[[], DataFrame], columns: Iterable[str]) -> int:
+        names = list(columns)
+        self._relations.append(None)
+        self._openers.append(lambda: _relation(opener(), names))
+        self._arities.append(len(names))
+        return len(self._relations) - 1
+
     def get(self, rel: int) -> DataFrame:
         if not 0 <= rel < len(self._relations):
             raise ValueError(f"unknown relation {rel}; there are {len(self._relations)}")
+        if self._relations[rel] is None:
+            self._relations[rel] = self._openers[rel]()
+            self._relations[rel].createOrReplaceTempView(f"r{rel}")
         return self._relations[rel]
 
     def __len__(self) -> int:
@@ -49,23 +55,18 @@ class Catalog:
 
     @property
     def arities(self) -> dict[int, int]:
-        return {i: len(df.columns) for i, df in enumerate(self._relations)}
+        return dict(enumerate(self._arities))
 
     def duplication(self, rel: int, columns: Iterable[int]) -> float:
-        """Rows per distinct value of these columns in a sample of about SAMPLE_ROWS; 0 if empty.
+        """Rows per distinct value of these columns among the first SAMPLE_ROWS; 0 if empty.
 
-        One small job per relation and column set, kept for later queries.
+        Reads a few partitions however large the relation is, once per
+        relation and column set. It steers the plan, never the result.
         """
         key = (rel, frozenset(columns))
         if key not in self._duplication:
-            df = self.get(rel)
-            rows = df.count()
-            names = [f"c{i}" for i in sorted(key[1])]
-            sample = df.select(*names)
-            if rows > 2 * SAMPLE_ROWS:
-                sample = sample.sample(fraction=SAMPLE_ROWS / rows, seed=7)
-            n, distinct = sample.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(*names), 0.02)).first()
-            self._duplication[key] = n / distinct if distinct else 0.0
+            rows = self.get(rel).select(*[f"c{i}" for i in sorted(key[1])]).take(SAMPLE_ROWS)
+            self._duplication[key] = len(rows) / len(set(rows)) if rows else 0.0
         return self._duplication[key]
 
     def duplicated(self, rel: int, columns: Iterable[int]) -> bool:
@@ -76,10 +77,20 @@ def testdata_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The integer columns of the generated tables, in a fixed order of ids."""
     catalog = Catalog(spark)
     for table, columns in TESTDATA_RELATIONS.items():
-        catalog.add(spark.read.parquet(f"{sf_dir}/{table}.parquet"), columns)
+        catalog.add_lazy(lambda table=table: spark.read.parquet(f"{sf_dir}/{table}.parquet"), columns)
     return catalog
 
 
+def _relation(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns as c0, c1, ...: whole decimals as 20 digits, all else as longs."""
+    casts = []
+    for i, name in enumerate(names):
+        kind = df.schema[name].dataType
+        wide = isinstance(kind, T.DecimalType) and kind.scale == 0
+        casts.append(F.col(f"`{name}`").cast(T.DecimalType(20, 0) if wide else T.LongType()).alias(f"c{i}"))
+    return df.select(*casts)
+
+
 TESTDATA_RELATIONS = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"],
     "orders": ["o_orderkey", "o_custkey"],
