@@ -49,7 +49,7 @@ class Engine:
         """The same result by way of generated SQL, an independent path for comparison."""
         parsed = validate(parse(query) if isinstance(query, str) else query, self.catalog.arities)
         for rel in set(parsed.relations):
-            self.catalog.get(rel)  # its view must be there
+            self.catalog.show(rel)  # another catalog may have taken the name
         return self.spark.sql(to_sql(rewrite(parsed) if rewritten else canonicalize(parsed), "spark", result=True))
 
     def explain(self, query: str | Query, mode: str | None = None) -> str:

@@ -47,9 +47,13 @@ class Catalog:
             raise ValueError(f"unknown relation {rel}; there are {len(self._relations)}")
         if self._relations[rel] is None:
             self._relations[rel] = self._openers[rel]()
-            self._relations[rel].createOrReplaceTempView(f"r{rel}")
+            self.show(rel)
         return self._relations[rel]
 
+    def show(self, rel: int) -> None:
+        """(Re)register the view r<rel>, which the last catalog to do so owns."""
+        self.get(rel).createOrReplaceTempView(f"r{rel}")
+
     def __len__(self) -> int:
         return len(self._relations)
 
@@ -74,8 +78,15 @@ class Catalog:
 
 
 def testdata_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The integer columns of the generated tables, in a fixed order of ids."""
-    catalog = Catalog(spark)
+    """The integer columns of the generated tables, in a fixed order of ids.
+
+    One catalog per application and folder: relations are opened, and their
+    statistics taken, once for all queries.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _OPEN:
+        return _OPEN[key]
+    catalog = _OPEN[key] = Catalog(spark)
     for table, columns in TESTDATA_RELATIONS.items():
         catalog.add_lazy(lambda table=table: spark.read.parquet(f"{sf_dir}/{table}.parquet"), columns)
     return catalog
@@ -91,6 +102,8 @@ def _relation(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*casts)
 
 
+_OPEN: dict[tuple[str, str], Catalog] = {}
+
 TESTDATA_RELATIONS = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"],
     "orders": ["o_orderkey", "o_custkey"],
