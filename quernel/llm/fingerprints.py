@@ -25,7 +25,7 @@ VALUE_MASK = (1 << VALUE_BITS) - 1
 QUICK_PROBES = 12
 BLANKS = r"[\x20\x09-\x0D]+"
 ROWS_PER_BUCKET = 500
-BUCKET_BITS = 12
+BUCKET_BITS = 16
 
 
 def _probes(bin_: int) -> list[int]:
@@ -110,7 +110,7 @@ def with_next(df: DataFrame, key: str, tie: str, carried: list[str], source: Dat
     fractions = [i / buckets for i in range(1, buckets)]
     cuts = keys.agg(F.percentile_approx(key, fractions, 20 * buckets)).first()[0] if fractions and n else None
     cuts = sorted(set(cuts or []))
-    # cuts[i] opens bucket i + 1; twelve halvings find the bucket
+    # cuts[i] opens bucket i + 1; BUCKET_BITS halvings find the bucket
     table = _longs([-(2**63), *cuts]) if cuts else _longs([-(2**63)])
     at = lambda lo, step: F.when(F.get(table, lo + step) <= F.col(key), lo + step).otherwise(lo)
     halvings = _ints([1 << i for i in reversed(range(BUCKET_BITS))])

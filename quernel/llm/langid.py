@@ -28,7 +28,7 @@ RATIO = 3.0
 NGRAMS_PER_LANGUAGE = 50_000
 FALSE_POSITIVES = 0.01
 #: Under this share of n-grams that the best language contains, a text is in none of them.
-LEAST_COVER = 0.2
+LEAST_COVER = 0.05
 CHUNK_CHARS = 1 << 19
 _SHIFT = np.uint64(21)
 
