@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words are maximal runs of bytes other than these; bytes.split() cuts at just them.
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 1 << 20
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 
 def scratch_folder(spark: SparkSession) -> str:
