@@ -58,6 +58,37 @@ FROM documents d JOIN components USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
 
+#: The level at which capped targets add up to the share: the first whose next source, by size over weight, stays under its cap.
+SOURCE_MIX_SQL = rf"""
+WITH sizes AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source
+), weighted AS (
+  SELECT source, source_size, source_size * CAST({mixing.MOST} AS DOUBLE) AS cap,
+    CAST(([{', '.join(map(str, mixing.WEIGHTS))}])[1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % {len(mixing.WEIGHTS)}] AS DOUBLE) AS weight
+  FROM per
+), filled AS (
+  SELECT *, (sum(source_size) OVER () * CAST({mixing.SHARE} AS DOUBLE) - coalesce(sum(cap) OVER before, 0)) / sum(weight) OVER rest AS level,
+    row_number() OVER (ORDER BY cap / weight, source) AS place
+  FROM weighted
+  WINDOW before AS (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    rest AS (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), chosen AS (
+  SELECT coalesce(arg_min(level, place) FILTER (WHERE cap >= weight * level), 0) AS level FROM filled
+), targets AS (
+  SELECT source, source_size, least(cap, weight * chosen.level) AS target FROM weighted, chosen
+), rated AS (
+  SELECT doc_id, size, source_size, target, s.source, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / CAST({1 << 52} AS DOUBLE) AS draw
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), copied AS (
+  SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM rated
+)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies, source FROM copied
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Hashes of media, tokenizers, models and draws can't be said in SQL; near-duplicates can."""
-    return {"op4_near_duplicates": NEAR_DUPLICATES_SQL}
+    """Hashes of media, tokenizers and models can't be said in SQL; near-duplicates and the mix can."""
+    return {"op4_near_duplicates": NEAR_DUPLICATES_SQL, "op8_source_mix": SOURCE_MIX_SQL}

@@ -4,11 +4,13 @@ import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quernel.llm import fingerprints, mixing, sharding
 from quernel.llm.common import documents
+from quernel.llm.queries import oracle_sql
 
 PYTHON = ("Python", "Pandas", "Arrow")
 
@@ -140,6 +142,15 @@ def test_mix_odd(spark, odd, odd_rows, none):
     assert [(r.size, r.target, r.taken) for r in mixing.mixed(wordless).collect()] == [(0, 0.0, 0)] * 2
 
 
+def test_mix_against_sql(spark, sf, odd, none):
+    for docs in (documents(spark, sf), odd, none, odd.where("doc_id in (5, 6, 7)"), odd.withColumn("source", odd["text"])):
+        got = mixing.mixed(docs)
+        with duckdb.connect() as db:
+            db.register("documents", docs.select("doc_id", "text", "source").toArrow())
+            want = db.sql(oracle_sql()["op8_source_mix"])
+            assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
+
+
 def check_shards(rows, docs, shards=24):
     sizes, slots, groups = Counter({s: 0 for s in range(shards)}), defaultdict(list), defaultdict(Counter)
     texts = Counter()
