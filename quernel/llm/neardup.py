@@ -11,8 +11,9 @@ from the start. Among classes:
    the lists of its rarest values, so many that two classes of that overlap
    still meet in one: values of widespread passages make no lists of their own.
 3. Lists with the same least member are one block, so that a group whose
-   members share many values is looked at once. Blocks over TILE members are
-   dealt to pairs of tiles.
+   members share many values is looked at once. A block over TILE members is
+   dealt to tiles, each with the least member; who is joined to that needs no
+   look at others who are, so only the rest of a tile meets the other tiles.
 4. In a block the sketch of the union estimates similarities. What may reach
    3/4 is verified on the whole sets, likeliest first, unless links found
    before join the two already: a block yields no more links than members.
@@ -112,9 +113,7 @@ def blocks(members: DataFrame) -> DataFrame:
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sig, members) of the documents with the wanted doc_ids, members as bytes of ascending hashes."""
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = slim(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    texts = slim(docs).join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
 
     def run(batches):
         hashes = WordHashes()
@@ -146,13 +145,22 @@ def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.count_nonzero(both[1:][twice] <= union[-1]) / len(union))
 
 
-def block_links(ids: list, sizes: np.ndarray, sketches: list[np.ndarray], members: list[bytes], tiles: np.ndarray) -> list[tuple]:
-    """Verified links that join what can be joined in a block; of two tiles only pairs across."""
+def likely_pairs(sizes: np.ndarray, sketches: list[np.ndarray], sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs may be linked as sizes and sketches go, and how alike the sketches are; given sides, only pairs across."""
     first = _sketch_similarities(sketches)
     near = np.minimum(sizes[:, None], sizes) * SIMILAR[1] >= np.maximum(sizes[:, None], sizes) * SIMILAR[0]
     likely = np.triu(near & (first >= LEAST_FIRST), 1)
-    if tiles.min() != tiles.max():
-        likely &= tiles[:, None] != tiles
+    if sides is not None:
+        likely &= sides[:, None] != sides
+    return likely, first
+
+
+def block_links(block: pd.DataFrame, sides: np.ndarray | None = None) -> tuple[list[tuple], list[int]]:
+    """Verified links that join what can be joined in a block, and each row's root by them; given sides, only pairs across."""
+    ids = block["sig"].to_list()
+    sets = [np.frombuffer(m, np.uint64) for m in block["members"]]
+    sketches = [x[:SKETCH] for x in sets]
+    likely, first = likely_pairs(np.array([len(x) for x in sets]), sketches, sides)
     left, right = np.nonzero(likely)
     order = np.argsort(-first[left, right], kind="stable")
     parent = list(range(len(ids)))
@@ -163,19 +171,55 @@ def block_links(ids: list, sizes: np.ndarray, sketches: list[np.ndarray], member
             i = parent[i]
         return i
 
-    sets: dict[int, np.ndarray] = {}
     found = []
     for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
         a, b = root(i), root(j)
         if a == b or union_estimate(sketches[i], sketches[j]) < SURE_ESTIMATE:
             continue
-        for k in (i, j):
-            if k not in sets:
-                sets[k] = np.frombuffer(members[k], np.uint64)
         if similar(sets[i], sets[j]):
             parent[max(a, b)] = min(a, b)
             found.append((ids[i], ids[j]))
-    return found
+    return found, [root(i) for i in range(len(ids))]
+
+
+def _within_tiles(group: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) of links, and (head, id, tile, tiles) of members of tiled blocks that their tile does not join to the head."""
+    links, apart = [], []
+    for head, block in group.groupby("head", sort=True):
+        if len(block) > 1:
+            block = block.sort_values("sig")
+            found, roots = block_links(block)
+            links += found
+            if block["tiles"].iloc[0] > 1:
+                at_head = roots[block["id"].to_list().index(head)]
+                apart += [(head, *row) for row, r in zip(block[["id", "tile", "tiles"]].itertuples(index=False, name=None), roots, strict=True) if r != at_head]
+    rows = [(a, b, None, None, None, None) for a, b in links] + [(None, None, *row) for row in apart]
+    return pd.DataFrame(rows, columns=["a", "b", "head", "id", "tile", "tiles"], dtype=object)
+
+
+def _likely_across(group: pd.DataFrame) -> pd.DataFrame:
+    """Of the rest of a block and the members of one tile those that sketches leave a partner on the other side."""
+    sides = group["rest"].to_numpy()
+    hit = np.zeros(len(group), bool)
+    if sides.any() and not sides.all():
+        likely, _ = likely_pairs(group["n_shingles"].to_numpy(), group["sketch"].to_list(), sides)
+        hit = likely.any(axis=0) | likely.any(axis=1)
+    return group.loc[hit, ["head", "part", "tile", "rest", "sig"]]
+
+
+def _across_tiles(group: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) of links between the rest of a block and the members of one tile."""
+    sides = group["rest"].to_numpy()
+    found = []
+    if sides.any() and not sides.all():
+        block = group.sort_values(["rest", "sig"])
+        found, _ = block_links(block, block["rest"].to_numpy())
+    return pd.DataFrame(found, columns=["a", "b"], dtype=object)
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """The table, broadcast if it is of up to BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def verified_links(paired: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -185,26 +229,32 @@ def verified_links(paired: DataFrame, classes: DataFrame, docs: DataFrame) -> Da
     sets = materialize(whole_sets(docs, wanted).dropDuplicates(["sig"]), "sets")
     sizes = paired.groupBy("head").agg(F.count(F.lit(1)).alias("size"))
     tiled = paired.join(sizes.select("head", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "head")
-    tile = F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("id"), F.col("tiles"))).otherwise(0).cast("int")
-    dealt = tiled.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    every_tile = F.sequence(F.lit(0), F.col("tiles") - 1)
     calls = max(1, paired.count() // ROWS_PER_CALL)
     call = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("head"), F.lit(calls))).otherwise(F.col("head"))
-    dealt = dealt.select("head", call.alias("call"), F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id")
-    filled = dealt.join(classes.select("id", "sig", "n_shingles", "sketch"), "id").join(sets, "sig")
-
-    def links(group: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, block in group.groupby("head", sort=True):
-            if len(block) > 1:
-                block = block.sort_values("sig")
-                sketches = [np.asarray(s, np.int64).view(np.uint64) for s in block["sketch"]]
-                found += block_links(block["sig"].to_list(), block["n_shingles"].to_numpy(), sketches, block["members"].to_list(), block["tile"].to_numpy())
-        return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]})
-
-    made = materialize(filled.groupBy("call", "t1", "t2").applyInPandas(links, "a binary, b binary"), "links")
+    places = F.when(F.col("id") == F.col("head"), every_tile).otherwise(F.array("tile"))
+    dealt = tiled.select("head", "id", "tiles", call.alias("call"), F.explode(places).alias("tile"))
+    filled = dealt.join(classes.select("id", "sig"), "id").join(sets, "sig")
+    inside = filled.groupBy("call", "tile").applyInPandas(_within_tiles, "a binary, b binary, head long, id long, tile int, tiles int")
+    inside = materialize(inside, "inside")
+    links = inside.where(F.col("a").isNotNull()).select("a", "b")
+    apart = inside.where(F.col("id").isNotNull()).select("head", "id", "tile", "tiles")
+    if apart.limit(1).count():
+        parts = apart.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64(F.lit("rest"), "id"), F.col("parts")).cast("int")
+        others = F.array_remove(every_tile, F.col("tile"))  # its own tile it has met
+        rest = apart.join(parts, "head").select("head", part.alias("part"), F.explode(others).alias("tile"), "id", F.lit(True).alias("rest"))
+        each_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        met = tiled.join(parts, "head").select("head", each_part.alias("part"), "tile", "id", F.lit(False).alias("rest"))
+        pairs = _small(materialize(rest.union(met), "rest")).join(classes.select("id", "sig", "n_shingles", "sketch"), "id")
+        likely = pairs.groupBy("head", "part", "tile").applyInPandas(_likely_across, "head long, part int, tile int, rest boolean, sig binary")
+        likely = _small(materialize(likely, "likely")).join(sets, "sig")
+        across = likely.groupBy("head", "part", "tile").applyInPandas(_across_tiles, "a binary, b binary")
+        links = links.union(materialize(across, "across"))
     for table in (wanted, sets):
         forget(table)
-    return made
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -71,6 +71,21 @@ def test_against_all_pairs(spark, seed, tile, monkeypatch):
     assert got == Counter((d, n, c, d == c) for d, n, c in brute(rows))
 
 
+def test_chains_over_tiles(spark, monkeypatch):
+    """Neighbours are linked, others aren't: most of a block is not joined to its least member within a tile."""
+    monkeypatch.setattr(neardup, "TILE", 2)
+    rnd = random.Random(7)
+    chains = [[word(rnd) for _ in range(500)] for _ in range(3)]
+    rows = [(100 * i + at, " ".join(words[8 * at : 8 * at + 100])) for i, words in enumerate(chains) for at in range(50)]
+    rnd.shuffle(rows)
+    seen = []
+    materialize = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, label: seen.append(label) or materialize(df, label))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute(rows))
+    assert "across" in seen
+
+
 def test_odd_rows(odd, odd_rows, none):
     rows = [(r[0], r[1]) for r in odd_rows]
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd).collect())
