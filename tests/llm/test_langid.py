@@ -53,3 +53,24 @@ def test_odd_rows(odd, none, odd_rows):
 def test_rejects_only_what_no_language_holds(spark, sf):
     docs = documents(spark, sf)
     assert langid.keep_known(docs).count() == docs.count()
+
+
+OTHERS = {
+    "dutch": "De kinderen liepen gisteren door het oude dorp en kochten op de markt verse groente, brood en kaas voor het avondeten.",
+    "polish": "Wczoraj dzieci szły przez starą wieś i kupiły na targu świeże warzywa, chleb i ser na kolację.",
+    "italian": "Ieri i bambini hanno camminato nel vecchio villaggio e hanno comprato al mercato verdura fresca, pane e formaggio per la cena.",
+    "portuguese": "Ontem as crianças caminharam pela velha aldeia e compraram no mercado legumes frescos, pão e queijo para o jantar.",
+    "finnish": "Lapset kävelivät eilen vanhan kylän läpi ja ostivat torilta tuoreita vihanneksia, leipää ja juustoa illalliseksi.",
+}
+
+
+def test_other_languages_and_letter_noise_go(spark, sf):
+    docs = documents(spark, sf)
+    rnd = np.random.default_rng(4)
+    noise = [" ".join("".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), rnd.integers(2, 10))) for _ in range(60)) for _ in range(5)]
+    planted = [(-1 - i, text) for i, text in enumerate([*OTHERS.values(), *noise])]
+    rows = spark.createDataFrame(planted, "doc_id long, text string")
+    kept = langid.keep_known(docs.unionByName(rows, allowMissingColumns=True))
+    assert [r.doc_id for r in kept.where("doc_id < 0").collect()] == []
+    assert kept.count() == docs.count()  # short ones too
+    assert docs.where("length(text) < 200").count() > 20
