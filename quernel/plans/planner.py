@@ -7,7 +7,9 @@ and build sides are Spark's to choose.
 Multiplicities: Catalyst places no aggregate below a join. Where a relation
 repeats the values a query needs, its scan becomes (values, count); joins
 multiply counts and the root sums value * count. Inner equi-joins under bag
-semantics keep their result under this, cycles and self-joins included.
+semantics keep their result under this, cycles and self-joins included. Where
+two bindings alone meet on keys that both repeat, each side becomes one row a
+key with its sums and count, so that a hot key's pairs are never made.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions.exact import exact_sum, finish, weighted_sum
 from quernel.operators.relational import COUNT, checksum, equi_join, filter_scan, group_count, residual_equality
 from quernel.plans.ir import EquiPred, Query
 from quernel.plans.rewrite import join_steps, rewrite
@@ -71,6 +74,32 @@ def _join(left: DataFrame, right: DataFrame, binding: int, on: list[EquiPred]) -
     return df
 
 
+def _keys(query: Query, binding: int) -> list[int]:
+    return sorted({c.col for p in query.predicates for c in p.sides if c.binding == binding})
+
+
+def _meets_by_key(query: Query, catalog: Catalog, mode: str) -> bool:
+    """Whether both sides of the only join become one row a key: always if on, where both repeat their keys if auto."""
+    if mode == "off" or len(query.relations) != 2 or any(p.left.binding == p.right.binding for p in query.predicates):
+        return False
+    return mode == "on" or all(catalog.duplicated(rel, _keys(query, b)) for b, rel in enumerate(query.relations))
+
+
+def _sums_by_key(query: Query, catalog: Catalog, on: list[EquiPred], numeric: str) -> DataFrame:
+    """A side's sums times the other's count, key by key."""
+    sides = []
+    for binding in (0, 1):
+        leaf, _ = _leaf(query, catalog, binding, "off")
+        keys = [f"b{binding}_c{i}" for i in _keys(query, binding)]
+        sums = dict.fromkeys(c.flat for c in query.sums if c.binding == binding)
+        totals = [exact_sum(F.col(c), leaf.schema[c].dataType).alias(f"sum_{c}") for c in sums]
+        sides.append(leaf.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n{binding}"), *totals))
+    pairs = [p.sides if p.left.binding == 0 else p.sides[::-1] for p in on]
+    met = equi_join(*sides, [(a.flat, b.flat) for a, b in pairs])
+    totals = [weighted_sum(F.col(f"sum_{c.flat}"), F.col(f"n{1 - c.binding}"), wide=True) for c in query.sums]
+    return met.agg(*[finish(t, numeric).alias(f"s{i}") for i, t in enumerate(totals)])
+
+
 def plan(query: Query, catalog: Catalog, mode: str = "auto", numeric: str = "bigint", optimize: bool = True) -> Plan:
     """mode: count multiplicities where statistics say so (auto), everywhere (on) or nowhere (off)."""
     if mode not in MODES:
@@ -79,6 +108,10 @@ def plan(query: Query, catalog: Catalog, mode: str = "auto", numeric: str = "big
     query = rewrite(query) if optimize else query
     # a single join against a relation of unique keys gains nothing; two relations must meet for counts to pay
     steps = join_steps(query)
+    if _meets_by_key(query, catalog, mode):
+        result = _sums_by_key(query, catalog, steps[1][1], numeric)
+        weighing = tuple(sorted({1 - c.binding for c in query.sums}))  # whose counts the other side's sums are taken by
+        return Plan(result, query, tuple((b, tuple(map(str, on))) for b, on in steps), weighing)
     mode = "off" if len(steps) == 1 and mode == "auto" else mode
     counted: list[int] = []
     df = None

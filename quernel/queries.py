@@ -46,6 +46,8 @@ TEXT_QUERIES: dict[str, tuple[str, str, str, list[str]]] = {
     "q_docs": ("8 9|0.0=1.0&1.1=1|0.1 1.0", "documents d, labels l", "d.doc_id = l.doc_id AND l.quality = 1", ["d.n_chars", "l.doc_id"]),
     "q_conv": ("10 9|0.0=1.0|0.1 1.1", "conversations, labels", "conv_id = doc_id", ["turn", "quality"]),
     "q_emb": ("11 11|0.1=1.1&1.0<50|0.0 1.0", "embeddings a, embeddings b", "a.label = b.label AND b.vec_id < 50", ["a.vec_id", "b.vec_id"]),
+    "q_self_whole": ("2 2|0.1=1.1|0.0 1.0", "customer a, customer b", "a.c_nationkey = b.c_nationkey", ["a.c_custkey", "b.c_custkey"]),
+    "q_emb_whole": ("11 11|0.1=1.1|0.0 1.0", "embeddings a, embeddings b", "a.label = b.label", ["a.vec_id", "b.vec_id"]),
 }
 
 BATCH = ["q_join2", "q_chain3", "q_empty", "q_dup_sel"]
@@ -123,13 +125,13 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _text(name, "auto") for name in TEXT_QUERIES}
-    found |= {f"{name}_counted": _text(name, "on") for name in ("q_mn", "q_self", "q_cycle", "q_key_only", "q_chain4")}
+    found |= {f"{name}_counted": _text(name, "on") for name in ("q_mn", "q_self", "q_self_whole", "q_emb_whole", "q_cycle", "q_key_only", "q_chain4")}
     found |= {name: run for name, (run, _) in OPERATORS.items()}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: _sum_sql(name) for name in TEXT_QUERIES}
-    found |= {f"{name}_counted": _sum_sql(name) for name in ("q_mn", "q_self", "q_cycle", "q_key_only", "q_chain4")}
+    found |= {f"{name}_counted": _sum_sql(name) for name in ("q_mn", "q_self", "q_self_whole", "q_emb_whole", "q_cycle", "q_key_only", "q_chain4")}
     found |= {name: sql for name, (_, sql) in OPERATORS.items()}
     return found
