@@ -37,8 +37,8 @@ SIMILAR = (75, 100)
 SKETCH = 64
 #: Binomial(64, 3/4) is below 27 with a chance under 1e-8.
 SURE_OVERLAP = 27
-#: An estimate from 64 values this far below 3/4 is 4.6 standard deviations off.
-SURE_ESTIMATE = 0.5
+#: The union's sketch holds no more shared values than both sketches do: an estimate under this has the overlap's chance.
+SURE_ESTIMATE = SURE_OVERLAP / SKETCH
 #: Linked sketches, as sets, are at least this similar: 27 shared of 64 and 64.
 LEAST_FIRST = SURE_OVERLAP / (2 * SKETCH - SURE_OVERLAP)
 TILE = 512

@@ -134,3 +134,17 @@ def test_shingles_of_long_words_and_texts():
     text = "abc de " * 400_000
     assert len(neardup.shingles(text, hashes)) == 2
     assert neardup.signature(neardup.shingles("A b\nC d E f", hashes)) == neardup.signature(neardup.shingles("a B c D e F", hashes))
+
+
+def test_low_estimate_of_a_linked_pair_is_verified():
+    import numpy as np
+    import pandas as pd
+
+    small = np.arange(64, dtype=np.uint64)
+    far = np.arange(1000, 1200, dtype=np.uint64)
+    a = np.concatenate([small[:28], small[28:46], far])
+    b = np.concatenate([small[:28], small[46:], far])
+    assert neardup.similar(a, b)
+    assert neardup.union_estimate(a[: neardup.SKETCH], b[: neardup.SKETCH]) == 28 / 64
+    block = pd.DataFrame({"sig": [b"a", b"b"], "members": [a.tobytes(), b.tobytes()]})
+    assert neardup.block_links(block)[0] == [(b"a", b"b")]
