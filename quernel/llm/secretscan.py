@@ -31,10 +31,20 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "der64", "derhex")
 
 _ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+#: Headers whose JSON has white space first or inside the brace.
+_JWT_BLANK = re.compile(r"(?<![A-Za-z0-9_-])(?!eyJ)(?:e[w-z0-9]|I[A-P]|C[Q-Za-v]|D[Q-Za-f])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
 _PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\n:,-]*?)-----END \1-----")
 #: Base64 of a DER sequence (0x30) starts with M; of an OpenSSH key with these letters.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{38,}={0,2}")
-_HEX_KEY = re.compile(r"(?<![0-9a-fA-F])30[0-9a-fA-F]{46,}")
+_HEX_KEY = re.compile(r"(?<![0-9a-fA-F])(?:30|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100)[0-9a-fA-F]{46,}")
+#: The first line of the same over several lines, and base64 of "-----BEGIN ".
+_WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\n))(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{14,}+(?=[ \t]*(?:\r?\n|\\r|\\n))")
+_PEM64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\n))LS0tLS1CRUdJTi")
+_RUN = re.compile(r"[A-Za-z0-9+/]+")
+_BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*(?=[A-Za-z0-9+/])")
+_PADDING = re.compile(r"={0,2}")
+#: No private key's encoding is longer.
+KEY_BYTES = 1 << 16
 OPENSSH = b"openssh-key-v1\0"
 
 
@@ -118,19 +128,106 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def _lines64(text: str, at: int, most: int | None = None) -> tuple[str, list[tuple[int, int]]]:
+    """The base64 characters from `at` on over line breaks, `most` if given, and where their runs are."""
+    runs, n = [], 0
+    while m := _RUN.match(text, at):
+        end = m.end() if most is None else min(m.end(), at + most - n)
+        runs.append((at, end))
+        n += end - at
+        b = _BREAK.match(text, m.end())
+        if n == most or not b or text.startswith("LS0tLS1CRUdJTi", b.end()):  # another one starts there
+            break
+        at = b.end()
+    return "".join(text[a:b] for a, b in runs), runs
+
+
+def _place(runs: list[tuple[int, int]], n: int) -> int:
+    """Where in the text the first n characters of the runs end."""
+    for a, b in runs:
+        if n <= b - a:
+            return a + n
+        n -= b - a
+    return runs[-1][1]
+
+
+def _key_bytes(head: bytes) -> int | None:
+    """Length of the whole encoding, as its first bytes tell: of DER, or of an OpenSSH key as a whole."""
+    if head.startswith(OPENSSH):
+        at = len(OPENSSH)
+        for left in (3, None, 1):  # cipher, kdf and its options; public keys; private ones
+            if left is None:
+                left, at = int.from_bytes(head[at : at + 4], "big"), at + 4
+            for _ in range(left):
+                if at + 4 > len(head):
+                    return None
+                at += 4 + int.from_bytes(head[at : at + 4], "big")
+        return at
+    if head[:1] != b"0" or len(head) < 6:
+        return None
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    return 2 + head[1] if not head[1] & 0x80 else 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else None
+
+
+def _wrapped_end(text: str, start: int) -> int | None:
+    """Where a key's base64 over several lines ends, if one starts here: its own lengths tell."""
+    ssh = text.startswith("b3Blb", start)
+    chars, runs = _lines64(text, start, None if ssh else 8)
+    n = _key_bytes(_decoded64(chars[: len(chars) // 4 * 4]) or b"")
+    if not n or n > KEY_BYTES:
+        return None
+    need = -(-n * 4 // 3)
+    chars, runs = _lines64(text, start, need)
+    if len(chars) < need or len(runs) < 2 or not is_private_key(_decoded64(chars)):
+        return None
+    return _PADDING.match(text, runs[-1][1]).end()
+
+
+def _is_pem_key(m: re.Match) -> bool:
+    lines = [x for x in re.split(r"\\n|\n|\r", m[2]) if ":" not in x]
+    data = _decoded64("".join(lines))
+    return is_private_key(data) or bool("ENCRYPTED" in m[2] and data)
+
+
+def _pem64_end(text: str, start: int) -> int | None:
+    """Where base64 of PEM blocks ends behind the last private key in it."""
+    chars, runs = _lines64(text, start)
+    data = (_decoded64(chars[: len(chars) // 4 * 4]) or b"") + (_decoded64(chars[len(chars) // 4 * 4 :]) or b"")
+    ends = [m.end() for m in _PEM.finditer(data.decode("latin-1")) if _is_pem_key(m)]
+    if not ends:
+        return None
+    end = _place(runs, min(len(chars), -(-ends[-1] * 4 // 3)))
+    return _PADDING.match(text, _RUN.match(text, end).end() if _RUN.match(text, end) else end).end()
+
+
 def confirmed_spans(text: str) -> Iterator[tuple[str, int, int]]:
     if "eyJ" in text:
         for m in _JWT.finditer(text):
             if is_signed_token(m[0]):
                 yield "jwt", *m.span()
+    for m in _JWT_BLANK.finditer(text):
+        if is_signed_token(m[0]):
+            yield "jwt", *m.span()
+    pems = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            lines = [x for x in re.split(r"\\n|\n|\r", m[2]) if ":" not in x]
-            data = _decoded64("".join(lines))
-            if is_private_key(data) or "ENCRYPTED" in m[2] and data:
+            if _is_pem_key(m):
+                pems.append(m.span())
                 yield "pem", *m.span()
+    if "LS0tLS1CRUdJTi" in text:
+        done = 0
+        for m in _PEM64.finditer(text):
+            if m.start() >= done and (end := _pem64_end(text, m.start())):
+                done = end
+                yield "pem", m.start(), end
+    wrapped, done = set(), 0
+    for m in _WRAPPED.finditer(text):
+        if m.start() >= done and not any(a <= m.start() < b for a, b in pems) and (end := _wrapped_end(text, m.start())):
+            wrapped.add(m.start())
+            done = end
+            yield "der64", m.start(), end
     for m in _BASE64.finditer(text):
-        if is_private_key(_decoded64(m[0])):
+        if m.start() not in wrapped and is_private_key(_decoded64(m[0])):
             yield "der64", *m.span()
     for m in _HEX_KEY.finditer(text):
         if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):

@@ -122,3 +122,44 @@ def test_quality_odd(odd, none, spark, odd_rows):
     assert len(got) == len(odd_rows) and all(0 <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 2 for r in got)
     assert not any(r.kept for r in got if r.doc_id in (5, 6, 7))
     assert quality.classify(none, labels.where("1 = 0")).count() == 0
+
+
+def found_text(text):
+    return [(kind, text[a:b]) for kind, a, b in secretscan.spans(text) if kind in secretscan.KINDS[3:]]
+
+
+def keys_of_many_bytes():
+    rsa = der(0x30, der(2, b"\0"), *[der(2, bytes([i]) * 60) for i in range(1, 9)])
+    field = lambda data: len(data).to_bytes(4, "big") + data
+    openssh = secretscan.OPENSSH + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"k" * 136)
+    return {"rsa": rsa, "openssh": openssh}
+
+
+@pytest.mark.parametrize("name", ["rsa", "openssh"])
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("line_break", ["\n", "\r\n", "\n    ", "\\n"])
+def test_wrapped_keys(name, width, line_break):
+    body = base64.b64encode(keys_of_many_bytes()[name]).decode()
+    wrapped = line_break.join(body[i : i + width] for i in range(0, len(body), width))
+    assert found_text(f"key:\n{wrapped}\nMore words come after it\nand more") == [("der64", wrapped)]
+    broken = wrapped.replace(body[8:12], "////", 1)
+    assert name == "openssh" or found_text(f"key:\n{broken}\n") == []
+
+
+def test_other_key_encodings():
+    keys = keys_of_many_bytes()
+    for raw, kind in ((keys["rsa"], "RSA PRIVATE KEY"), (keys["openssh"], "OPENSSH PRIVATE KEY")):
+        lines = re.sub("(.{64})", r"\1\n", base64.b64encode(raw).decode()).strip()
+        pem = f"-----BEGIN {kind}-----\n{lines}\n-----END {kind}-----\n"
+        assert ("pem", pem.strip()) in found_text(pem)
+        twice = base64.b64encode(pem.encode()).decode()
+        assert found_text(f"tls.key: {twice}\nkind: Secret") == [("pem", twice)]
+        folded = re.sub("(.{76})", r"\1\n", twice).strip()
+        assert found_text(f"x {folded}\n") == [("pem", folded)]
+        public = base64.b64encode(pem.replace("PRIVATE", "PUBLIC").encode()).decode()
+        assert found_text(f"tls.crt: {public}\n") == []
+    assert found_text(f"k {keys['openssh'].hex()} .") == [("derhex", keys["openssh"].hex())]
+    for head in (' {"alg":"HS256"}', '\n{"alg":"HS256"}', '{ "alg":"HS256"}', '{\r\n  "alg": "none"}', '\t{"alg":"HS256"}'):
+        signed = ".".join(base64.urlsafe_b64encode(p).decode().rstrip("=") for p in (head.encode(), b'{"sub":"somebody"}', b"signature"))
+        assert found_text(f"Bearer {signed} end") == [("jwt", signed)]
+    assert found_text("December2024x.name.of Implementation.detail.of") == []
