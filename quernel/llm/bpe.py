@@ -16,8 +16,9 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quernel.llm.common import batch_of, slim
+from quernel.llm.common import per_row, slim
 
 CHUNK_CHARS = 1 << 16
 #: Unicode's White_Space property, which is what \s is to the library.
@@ -37,11 +38,6 @@ def encoder(ranks_path: str, pattern: str = public_tokenizers.PATTERN) -> tiktok
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-@cache
-def id_strings(ranks_path: str) -> list[str]:
-    return [str(i) for i in range(encoder(ranks_path).n_vocab)]
-
-
 def safe_chunks(text: str, limit: int = CHUNK_CHARS) -> Iterator[str]:
     """Pieces that encode to the ids of the whole when put together.
 
@@ -57,14 +53,13 @@ def safe_chunks(text: str, limit: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(enc: tiktoken.Encoding, text: str | None) -> list[int]:
-    """The ids of a whole text; none for null and empty ones. No special tokens."""
-    ids: list[int] = []
+def encoded(enc: tiktoken.Encoding, text: str | None) -> Iterator[list[int]]:
+    """The ids of a whole text, chunk by chunk; none for null and empty ones. No special tokens."""
     if not text:
-        return ids
+        return
     text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if not text.isascii() else text
     for chunk in safe_chunks(text):
-        at = 0
+        ids, at = [], 0
         if len(chunk) >= 10000:
             # the library's matcher gives up on white space this long before a word: its match is all but the last
             for m in _LONG_SPACE.finditer(chunk):
@@ -72,8 +67,11 @@ def encode(enc: tiktoken.Encoding, text: str | None) -> list[int]:
                 ids += enc.encode_ordinary(chunk[at : m.start()])
                 ids += enc._encode_single_piece(chunk[m.start() : stop])
                 at = stop
-        ids += enc.encode_ordinary(chunk[at:] if at else chunk)
-    return ids
+        yield ids + enc.encode_ordinary(chunk[at:] if at else chunk)
+
+
+def encode(enc: tiktoken.Encoding, text: str | None) -> list[int]:
+    return [i for ids in encoded(enc, text) for i in ids]
 
 
 def decode(enc: tiktoken.Encoding, ids: list[int]) -> bytes:
@@ -85,49 +83,82 @@ _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sh
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def digests(enc: tiktoken.Encoding, text: str | None) -> tuple[int, str, str]:
+    """(number of ids, SHA-256 of the ids, SHA-256 of what they decode to), held a chunk at a time."""
+    of_ids, of_bytes, n = sha256(), sha256(), 0
+    for ids in encoded(enc, text):
+        of_ids.update((" " * bool(n and ids) + " ".join(map(str, ids))).encode())
+        of_bytes.update(decode(enc, ids))
+        n += len(ids)
+    return n, of_ids.hexdigest(), of_bytes.hexdigest()
+
+
 def encode_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """Encode every whole text, decode the ids, and return digests of both.
 
     A null text is empty (no ids). Null doc_ids and repeated rows pass through;
-    an empty table gives no rows.
+    an empty table gives no rows. Other columns are not looked at.
     """
 
-    def run(batches):
-        enc, names = encoder(ranks_path), id_strings(ranks_path)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(enc, text)
-                joined = " ".join(map(names.__getitem__, ids)).encode()
-                rows.append((doc_id, len(ids), sha256(joined).hexdigest(), sha256(decode(enc, ids)).hexdigest()))
-            yield batch_of(_DIGESTS, rows)
+    def start():
+        enc = encoder(ranks_path)
+        return lambda doc_id, text: (doc_id, *digests(enc, text))
 
-    return slim(docs).mapInArrow(run, DIGEST_SCHEMA)
+    return per_row(slim(docs), start, _DIGESTS, DIGEST_SCHEMA)
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 def encode_ids(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, ids) of every text."""
+    """(doc_id, ids) of every whole text.
+
+    A null or empty text has no ids, not null ones. Null doc_ids and repeated
+    rows pass through; an empty table gives no rows.
+    """
 
-    def run(batches):
+    def start():
         enc = encoder(ranks_path)
-        for batch in batches:
-            yield batch_of(_IDS, [(i, encode(enc, t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+        return lambda doc_id, text: (doc_id, encode(enc, text))
 
-    return slim(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return per_row(slim(docs), start, _IDS, "doc_id long, ids array<int>")
 
 
 _TEXTS = pa.schema([("doc_id", pa.int64()), ("bytes", pa.binary())])
 
 
 def decode_ids(df: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, bytes) of (doc_id, ids); null ids are none."""
+    """(doc_id, bytes) of (doc_id, ids); null ids are none and decode to no bytes."""
 
-    def run(batches):
+    def start():
         enc = encoder(ranks_path)
-        for batch in batches:
-            yield batch_of(_TEXTS, [(i, decode(enc, x or [])) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+        return lambda doc_id, ids: (doc_id, decode(enc, ids or []))
+
+    return per_row(df.select("doc_id", "ids"), start, _TEXTS, "doc_id long, bytes binary")
+
+
+_COPIES = pa.schema([("doc_id", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+
+
+def encode_copies(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """(doc_id, copy, n_tokens, ids, decoded_sha256): token ids of a mixed corpus, in which documents repeat.
+
+    Rows of equal doc_id and text are copies: they are encoded once and
+    numbered from 0. A null text has no ids. Null doc_ids are told apart by
+    their texts; an empty table gives no rows.
+    """
+    key = (F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), F.col("text").isNull().alias("none"))
+    once = slim(docs).groupBy(*key).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+
+    def start():
+        enc = encoder(ranks_path)
+
+        def of(doc_id, copies, text):
+            ids = encode(enc, text)
+            return doc_id, copies, len(ids), ids, sha256(decode(enc, ids)).hexdigest()
+
+        return of
 
-    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    made = per_row(once.select("doc_id", "copies", "text"), start, _COPIES, "doc_id long, copies long, n_tokens long, ids array<int>, decoded_sha256 string")
+    numbered = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+    return made.select("doc_id", numbered, "n_tokens", "ids", "decoded_sha256")

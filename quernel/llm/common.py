@@ -2,44 +2,75 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are maximal runs of bytes other than these; bytes.split() cuts at just them.
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 1 << 20
 CACHED_WORDS = 150_000
+#: Longer words are hashed anew each time, so that the words remembered have a bounded size.
+CACHED_WORD_BYTES = 64
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+#: What Python looks at in one go, as objects: about so many bytes of text, and so many rows.
+SLICE_BYTES = 1 << 20
+SLICE_ROWS = 2000
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder that driver and executors share: what spark.checkpoint.dir names, or the context's checkpoint folder.
+
+    Where neither is set, one process that is driver and executor at once (master local) gets a temporary folder
+    that goes with it; on a cluster that is an error.
+    """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and context._jsc.sc().getCheckpointDir().isDefined():
+        base = context._jsc.sc().getCheckpointDir().get()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quernel-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="quernel-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it: cuts lineage, survives executors."""
-    path = f"{scratch_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    """Write df as Parquet in the shared folder and read it: cuts lineage, survives executors.
 
-def forget(df: DataFrame) -> None:
-    """Delete a materialized table that nothing will read again."""
+    The table goes when the application ends, or before by forget().
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folder = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path, files = _hadoop(spark, folder)
+    files.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path, files = _hadoop(df.sparkSession, folder)
+            files.delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +82,54 @@ def slim(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", "text", *more)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python of at most BATCH_BYTES or one row, for the session: with long rows 10,000 would be gigabytes."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_KEY)) > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose strings have about SLICE_BYTES; a longer row is alone."""
+    sizes = np.full(batch.num_rows, SLICE_BYTES // SLICE_ROWS, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def per_row(df: DataFrame, start: Callable[[], Callable[..., tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """A row out for each row in, in Python. start() is called once a task and returns the function of a row's values."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches):
+        made = start()
+        for batch in batches:
+            for part in slices(batch):
+                yield batch_of(schema, [made(*row) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)])
+        del made
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, ddl)
+
+
+def rewritten(df: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """df, same columns, with each run of rows (see slices) as `change` makes it."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield change(part)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def word_pieces(data: bytes) -> Iterator[list[bytes]]:
     """The words of UTF-8 bytes, A-Z lowered, in lists of about PIECE_BYTES."""
     data = data.lower()
@@ -71,9 +150,10 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = value
+        if len(word) <= CACHED_WORD_BYTES:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, text: str | None) -> np.ndarray:

@@ -8,14 +8,16 @@ add, decide.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import batch_of, mix, slim
+from quernel.llm.common import bounded_batches, mix, per_row, rewritten, slices, slim
 
 UNDETERMINED = "und"
 N = 3
@@ -26,6 +28,7 @@ SAMPLE_PER_LANGUAGE = 3000
 LEAST_SHARE = 0.004
 RATIO = 3.0
 NGRAMS_PER_LANGUAGE = 50_000
+MOST_LANGUAGES = 1000
 FALSE_POSITIVES = 0.01
 #: Under this share of n-grams that the best language contains, a text is in none of them. Measured: labelled documents
 #: have 0.4545 at least (256,410 of check_l, held out 0.4708), other languages up to 0.425 (Portuguese), random letters
@@ -33,6 +36,7 @@ FALSE_POSITIVES = 0.01
 LEAST_COVER = 0.44
 CHUNK_CHARS = 1 << 19
 _SHIFT = np.uint64(21)
+_BLANK = re.compile(r"\s")
 
 
 def codes(text: str) -> np.ndarray:
@@ -65,11 +69,16 @@ def _letters(top: int) -> np.ndarray:
     return _LETTERS
 
 
-def ngrams(text: str | None):
-    """The codes of a text, in parts of about CHUNK_CHARS."""
-    text = text or ""
-    for i in range(0, len(text), CHUNK_CHARS):
-        yield codes(text[max(0, i - 2) : i + CHUNK_CHARS] if i else text[:CHUNK_CHARS])
+def ngrams(text: str | None) -> Iterator[np.ndarray]:
+    """The codes of a text, in parts of about CHUNK_CHARS that end where a word does: none is lost or made up."""
+    text, at = text or "", 0
+    while len(text) - at > CHUNK_CHARS:
+        blank = _BLANK.search(text, at + CHUNK_CHARS)
+        if not blank:
+            break
+        yield codes(text[at : blank.start()])
+        at = blank.end()
+    yield codes(text[at:])
 
 
 @dataclass
@@ -139,38 +148,38 @@ def held_out(doc_id):
 def train(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Filter:
     """Learn from (doc_id, text, lang); rows without text or lang are passed over.
 
-    Counts rows per language first, then draws by a hash of doc_id, so that the
-    sample's size is bounded whatever the input's. Document frequencies of
-    n-grams are summed by Spark; only the NGRAMS_PER_LANGUAGE most frequent
-    come to the driver.
+    Counts rows per language first, then draws by a hash of doc_id and text, so
+    that the sample's size is bounded whatever the input's (rows equal in both
+    are drawn together). Of more than MOST_LANGUAGES names the most frequent
+    are learned. Document frequencies of n-grams are summed by Spark; only the
+    NGRAMS_PER_LANGUAGE most frequent come to the driver. Without a labelled
+    row nothing is learned and every text is `und`.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return Filter.build({})
-    keys = [x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(1.0, sample_per_language / n)))]
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.where(draw < F.create_map(*keys)[F.col("lang")])
+    by_language = lambda values: F.create_map(*[x for pair in values.items() for x in map(F.lit, pair)])[F.col("lang")]
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    sample = rows.where(draw < by_language({name: min(1.0, sample_per_language / n) for name, n in sizes.items()}))
 
     def count(batches):
         seen: dict[str, dict[int, int]] = {}
         docs: dict[str, int] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = seen.setdefault(lang, {})
-                docs[lang] = docs.get(lang, 0) + 1
-                for gram in np.unique(np.concatenate([np.unique(c) for c in ngrams(text)] or [np.zeros(0, np.uint64)])).tolist():
-                    own[gram] = own.get(gram, 0) + 1
+        parts = (part for batch in batches for part in slices(batch))
+        for text, lang in (row for p in parts for row in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)):
+            own = seen.setdefault(lang, {})
+            docs[lang] = docs.get(lang, 0) + 1
+            for gram in np.unique(np.concatenate([np.unique(c) for c in ngrams(text)])).tolist():
+                own[gram] = own.get(gram, 0) + 1
         for lang, own in seen.items():
             own[-1] = docs[lang]  # no n-gram has this code: the number of documents
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "n"])
 
     counted = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    least = {name: LEAST_SHARE * min(n, sample_per_language) for name, n in sizes.items()}
-    floor = F.create_map(*[x for name, v in least.items() for x in (F.lit(name), F.lit(v))])[F.col("lang")]
+    floor = by_language({name: LEAST_SHARE * min(n, sample_per_language) for name, n in sizes.items()})
     frequent = counted.where((F.col("gram") == -1) | (F.col("n") >= floor))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("gram") == -1, F.desc("n"), "gram"))
     top = frequent.withColumn("place", place).where((F.col("place") <= NGRAMS_PER_LANGUAGE) | (F.col("gram") == -1))
     table = top.select("lang", "gram", "n").toPandas()
@@ -193,25 +202,35 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            yield batch_of(_PREDICTED, [(i, h, *shared.value.decide(t)) for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True)])
+    def start():
+        filter_ = shared.value
+        return lambda doc_id, held, text: (doc_id, held, *filter_.decide(text))
 
-    return slim(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, PREDICTED_SCHEMA)
+    rows = slim(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return per_row(rows, start, _PREDICTED, PREDICTED_SCHEMA)
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Train on the rows that aren't held out, predict all."""
+    """Train on the rows that aren't held out, predict all.
+
+    A text with letters of which no language has an n-gram gets the first
+    language by name, with score and cover 0. See train and predict for nulls,
+    repeated rows and empty tables; columns other than doc_id, text and lang
+    are not looked at.
+    """
     return predict(docs, train(docs.where(~held_out(F.col("doc_id")))))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs, same columns, without texts in none of the languages: no letters, or too few n-grams that one of them holds."""
+    """docs, same columns, without texts in none of the languages: no letters, or too few n-grams that one of them holds.
+
+    Null and empty texts go, so does all of a table that names no language;
+    repeated rows repeat, and other columns pass through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out(F.col("doc_id")))))
 
-    @F.pandas_udf("boolean")
-    def known(texts):
-        return texts.map(lambda t: (d := shared.value.decide(t))[0] != UNDETERMINED and d[2] >= LEAST_COVER)
+    def known(text: str | None) -> bool:
+        name, _, cover = shared.value.decide(text)
+        return name != UNDETERMINED and cover >= LEAST_COVER
 
-    return docs.select(F.struct("*").alias("row"), known("text").alias("known")).where("known").select("row.*")
+    return rewritten(docs, lambda part: part.filter(pa.array([known(t) for t in part.column("text").to_pylist()], pa.bool_())))

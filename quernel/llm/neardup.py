@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import WordHashes, batch_of, forget, materialize, mix, slim
+from quernel.llm.common import WordHashes, bounded_batches, forget, materialize, mix, per_row, slices, slim
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -41,9 +41,12 @@ SURE_OVERLAP = 27
 SURE_ESTIMATE = SURE_OVERLAP / SKETCH
 #: Linked sketches, as sets, are at least this similar: 27 shared of 64 and 64.
 LEAST_FIRST = SURE_OVERLAP / (2 * SKETCH - SURE_OVERLAP)
+#: A tile has about so many members, and so many bytes of whole sets, at most.
 TILE = 512
-#: Small blocks go to Python together, about so many rows at a time.
+TILE_BYTES = 16 << 20
+#: Small blocks go to Python together, about so many rows and bytes at a time.
 ROWS_PER_CALL = 2000
+BYTES_PER_CALL = 4 << 20
 #: A table of ids of up to this many rows may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -81,16 +84,17 @@ _SKETCHED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_sh
 def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, sig, sketch) of every whole text."""
 
-    def run(batches):
+    def start():
         hashes = WordHashes()
-        for batch in batches:
-            rows = []
-            for doc_id, text, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = shingles(text, hashes)
-                rows.append((doc_id, key, len(found), signature(found), found[:SKETCH].view(np.int64)))
-            yield batch_of(_SKETCHED, rows)
 
-    return slim(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sig binary, sketch array<long>")
+        def of(doc_id, text, key):
+            found = shingles(text, hashes)
+            return doc_id, key, len(found), signature(found), found[:SKETCH].view(np.int64)
+
+        return of
+
+    rows = slim(docs).withColumn("text_hash", F.xxhash64("text"))
+    return per_row(rows, start, _SKETCHED, "doc_id long, text_hash long, n_shingles long, sig binary, sketch array<long>")
 
 
 def lists(classes: DataFrame) -> DataFrame:
@@ -117,8 +121,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
-            sets = [s for s in (shingles(t, hashes) for t in batch.column(0).to_pylist()) if len(s)]
+        for part in (p for batch in batches for p in slices(batch)):
+            sets = [s for s in (shingles(t, hashes) for t in part.column(0).to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "members"])
 
     return texts.mapInArrow(run, "sig binary, members binary")
@@ -224,14 +228,18 @@ def _small(table: DataFrame) -> DataFrame:
 
 def verified_links(paired: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) by sig: links, verified on whole sets, whose components are those of all links."""
+    bounded_batches(docs.sparkSession)
     needed = paired.select("id").distinct()
     wanted = materialize(classes.join(needed, "id", "left_semi").select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
     sets = materialize(whole_sets(docs, wanted).dropDuplicates(["sig"]), "sets")
-    sizes = paired.groupBy("head").agg(F.count(F.lit(1)).alias("size"))
-    tiled = paired.join(sizes.select("head", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "head")
+    sized = paired.join(classes.select("id", (F.col("n_shingles") * 8).alias("bytes")), "id")
+    sizes = materialize(sized.groupBy("head").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes")), "sizes")
+    rows, whole = sizes.agg(F.sum("size"), F.sum("bytes")).first()
+    tiles = F.ceil(F.greatest(F.col("size") / TILE, F.col("bytes") / TILE_BYTES)).cast("int").alias("tiles")
+    tiled = paired.join(sizes.select("head", tiles), "head")
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     every_tile = F.sequence(F.lit(0), F.col("tiles") - 1)
-    calls = max(1, paired.count() // ROWS_PER_CALL)
+    calls = max(1, (rows or 0) // ROWS_PER_CALL, (whole or 0) // BYTES_PER_CALL)
     call = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("head"), F.lit(calls))).otherwise(F.col("head"))
     places = F.when(F.col("id") == F.col("head"), every_tile).otherwise(F.array("tile"))
     dealt = tiled.select("head", "id", "tiles", call.alias("call"), F.explode(places).alias("tile"))
@@ -241,19 +249,21 @@ def verified_links(paired: DataFrame, classes: DataFrame, docs: DataFrame) -> Da
     links = inside.where(F.col("a").isNotNull()).select("a", "b")
     apart = inside.where(F.col("id").isNotNull()).select("head", "id", "tile", "tiles")
     if apart.limit(1).count():
-        parts = apart.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
+        weighed = apart.join(classes.select("id", (F.col("n_shingles") * 8).alias("bytes")), "id")
+        parts = weighed.groupBy("head").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("bytes") / TILE_BYTES)).cast("int").alias("parts"))
         part = F.pmod(F.xxhash64(F.lit("rest"), "id"), F.col("parts")).cast("int")
         others = F.array_remove(every_tile, F.col("tile"))  # its own tile it has met
         rest = apart.join(parts, "head").select("head", part.alias("part"), F.explode(others).alias("tile"), "id", F.lit(True).alias("rest"))
         each_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         met = tiled.join(parts, "head").select("head", each_part.alias("part"), "tile", "id", F.lit(False).alias("rest"))
-        pairs = _small(materialize(rest.union(met), "rest")).join(classes.select("id", "sig", "n_shingles", "sketch"), "id")
+        both = materialize(rest.union(met), "rest")
+        pairs = _small(both).join(classes.select("id", "sig", "n_shingles", "sketch"), "id")
         likely = pairs.groupBy("head", "part", "tile").applyInPandas(_likely_across, "head long, part int, tile int, rest boolean, sig binary")
-        likely = _small(materialize(likely, "likely")).join(sets, "sig")
-        across = likely.groupBy("head", "part", "tile").applyInPandas(_across_tiles, "a binary, b binary")
+        likely = materialize(likely, "likely")
+        across = _small(likely).join(sets, "sig").groupBy("head", "part", "tile").applyInPandas(_across_tiles, "a binary, b binary")
         links = links.union(materialize(across, "across"))
-    for table in (wanted, sets):
-        forget(table)
+        forget(both, likely)
+    forget(wanted, sets, sizes)
     return links
 
 
@@ -279,8 +289,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, label, component_id) of every row; label is null for texts without words."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(doc_id, text_hash, n_shingles, label, component_id) of every row, and the tables that it reads.
+
+    label is null for texts without words.
+    """
     base = materialize(sketched(docs), "sketched")
     full = base.where(F.col("sig").isNotNull())
     least_id = full.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
@@ -297,13 +310,12 @@ def grouped(docs: DataFrame) -> DataFrame:
     named = materialize(named, "named")
     least = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     placed = materialize(named.join(least, "label").select("sig", "label", "component_id"), "placed")
-    for table in (classes, members, paired, near, labels, named, least):
-        forget(table)
+    forget(classes, members, paired, near, labels, named, least)
     slimmed = base.select("doc_id", "text_hash", "n_shingles", "sig")
     columns = ("doc_id", "text_hash", "n_shingles", "label", "component_id")
     found = slimmed.where(F.col("sig").isNotNull()).join(placed, "sig").select(*columns)
     alone = slimmed.where(F.col("sig").isNull()).withColumn("label", F.lit(None).cast("binary")).withColumn("component_id", F.col("doc_id"))
-    return found.union(alone.select(*columns))
+    return found.union(alone.select(*columns)), (base, placed)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -314,29 +326,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the component, null only if all its doc_ids are; kept marks the rows whose
     doc_id that is. An empty table gives no rows.
     """
-    found = grouped(docs).select("doc_id", "n_shingles", "component_id")
+    found = grouped(docs)[0].select("doc_id", "n_shingles", "component_id")
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, same columns, with one row of each component: its least doc_id (null last, ties by a hash of the text).
 
-    Texts without words stay.
+    Null texts and texts without words stay, repeated or not; of repeated rows
+    with words one stays. Other columns pass through; an empty table gives no
+    rows.
     """
-    rows = materialize(grouped(docs).where(F.col("label").isNotNull()).select("doc_id", "text_hash", "label"), "rows")
+    found, read = grouped(docs)
+    rows = materialize(found.where(F.col("label").isNotNull()).select("doc_id", "text_hash", "label"), "rows")
+    forget(*read)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     chosen = materialize(rows.groupBy("label").agg(F.min(order).alias("kept")), "chosen")
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
     gone = materialize(rows.join(chosen, "label").where(~same).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
+    again = rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_text"))
+    again = materialize(again, "again")
+    forget(rows, chosen)
     row = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
-    left = row.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_text")), "left_anti")
-    repeats = rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
-    if repeats:  # rows of equal doc_id and text: one of them stays too
-        again = rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_text"))
-        again = materialize(again, "again")
-        again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    left = row.join(_small(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_text")), "left_anti")
+    if again.limit(1).count():  # rows of equal doc_id and text: one of them stays too
+        again = _small(again)
         is_again = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("text_hash") == F.col("again_text"))
         twins = left.join(again, is_again, "left_semi").dropDuplicates(["doc_id", "text_hash"])
         left = left.join(again, is_again, "left_anti").union(twins)

@@ -17,10 +17,8 @@ from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quernel.llm.common import batch_of, slim
+from quernel.llm.common import per_row, rewritten, slim
 
 #: The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -257,17 +255,13 @@ def scan(docs: DataFrame) -> DataFrame:
     doc_ids and repeated rows pass through; an empty table gives no rows.
     """
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = spans(text)
-                base = [s for s in found if s[0] in KINDS[:3]]
-                kinds = [s[0] for s in base]
-                rows.append((doc_id, *(kinds.count(k) for k in KINDS[:3]), sha256(joined(base).encode()).hexdigest(), joined(found)))
-            yield batch_of(_SCAN, rows)
+    def of(doc_id, text):
+        found = spans(text)
+        base = [s for s in found if s[0] in KINDS[:3]]
+        kinds = [s[0] for s in base]
+        return doc_id, *(kinds.count(k) for k in KINDS[:3]), sha256(joined(base).encode()).hexdigest(), joined(found)
 
-    return slim(docs).mapInArrow(run, SCAN_SCHEMA)
+    return per_row(slim(docs), lambda: of, _SCAN, SCAN_SCHEMA)
 
 
 MASK = "[secret]"
@@ -287,16 +281,25 @@ def masked(text: str | None) -> str | None:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """docs, same columns, with the secrets of text masked (and n_chars, if there, counted anew where it changed)."""
-
-    @F.pandas_udf(T.StringType())
-    def clean(texts):
-        return texts.map(masked, na_action="ignore")
-
-    names = docs.columns
-    row = docs.select(F.struct("*").alias("row"), clean("text").alias("clean"))
-    changed = ~F.col("clean").eqNullSafe(F.col("row.text"))
-    new = {"text": F.col("clean")}
-    if "n_chars" in names:
-        new["n_chars"] = F.when(changed, F.char_length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return row.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
+    """docs, same columns, with the secrets of text masked (and n_chars, if there, counted anew where it changed).
+
+    Null and empty texts stay as they are; repeated rows repeat, and other
+    columns pass through. An empty table gives no rows.
+    """
+
+    def clean(part: pa.RecordBatch) -> pa.RecordBatch:
+        at = part.schema.get_field_index("text")
+        texts = part.column(at).to_pylist()
+        new = [masked(t) for t in texts]
+        changed = [i for i, (a, b) in enumerate(zip(texts, new, strict=True)) if a is not b]
+        if not changed:
+            return part
+        part = part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+        if (at := part.schema.get_field_index("n_chars")) >= 0:
+            counts = part.column(at).to_pylist()
+            for i in changed:
+                counts[i] = len(new[i])
+            part = part.set_column(at, part.schema.field(at), pa.array(counts, part.schema.field(at).type))
+        return part
+
+    return rewritten(docs, clean)
