@@ -61,7 +61,7 @@ FROM documents d JOIN components USING (doc_id) LEFT JOIN sizes USING (doc_id)
 #: The level at which capped targets add up to the share: the first whose next source, by size over weight, stays under its cap.
 SOURCE_MIX_SQL = rf"""
 WITH sizes AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS key FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source
 ), weighted AS (
@@ -80,10 +80,11 @@ WITH sizes AS (
   SELECT source, source_size, least(cap, weight * chosen.level) AS target FROM weighted, chosen
 ), rated AS (
   SELECT doc_id, size, source_size, target, s.source, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / CAST({1 << 52} AS DOUBLE) AS draw
+    CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || key), 1, 13) AS BIGINT) / CAST({1 << 52} AS DOUBLE) AS drawn,
+    row_number() OVER (PARTITION BY doc_id, s.source, key) AS number
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), copied AS (
-  SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM rated
+  SELECT *, CAST(floor(rate) + floor(number * (rate - floor(rate)) + drawn) - floor((number - 1) * (rate - floor(rate)) + drawn) AS BIGINT) AS copies FROM rated
 )
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies, source FROM copied
 """

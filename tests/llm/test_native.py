@@ -1,3 +1,4 @@
+import hashlib
 import random
 import statistics
 import zlib
@@ -101,6 +102,11 @@ def brute_targets(sizes):
         fixed |= {s: 2.0 * sizes[s] for s in over}
 
 
+def drawn(doc_id, text):
+    key = hashlib.md5((text or "").encode()).hexdigest()
+    return int(hashlib.md5(f"{mixing.SEED}:{'' if doc_id is None else doc_id}:{key}".encode()).hexdigest()[:13], 16) / 2**52
+
+
 def check_mix(rows, sources):
     sizes = defaultdict(int)
     for r in rows:
@@ -142,6 +148,20 @@ def test_mix_odd(spark, odd, odd_rows, none):
     assert [(r.size, r.target, r.taken) for r in mixing.mixed(wordless).collect()] == [(0, 0.0, 0)] * 2
 
 
+def test_mix_of_repeated_and_null_ids(spark):
+    """Sources whose rows share a doc_id, or are all the same, still come near their targets."""
+    rows = [(None, f"{i} words in this text", s) for s in "abc" for i in range(200)]
+    rows += [(7, "one text again and again", "d")] * 300 + [(7, f"another text {i}", "e") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want, taken = check_mix(mixing.mixed(docs).collect(), None)
+    for s in want:
+        assert abs(taken[s] - want[s]) <= 0.15 * want[s], s
+    assert taken["d"] == pytest.approx(want["d"], abs=5)
+    emitted = Counter(r.source for r in mixing.mix(docs).collect())
+    assert emitted == Counter({s: n // (5 if s in "abcd" else 3) for s, n in taken.items()})
+    assert emitted == Counter(r.source for r in mixing.mix(docs.repartition(3)).collect())
+
+
 def test_mix_against_sql(spark, sf, odd, none):
     for docs in (documents(spark, sf), odd, none, odd.where("doc_id in (5, 6, 7)"), odd.withColumn("source", odd["text"])):
         got = mixing.mixed(docs)
