@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quernel.llm import bpe, langid, mixing, neardup, secretscan
-from quernel.llm.common import documents, materialize
+from quernel.llm.common import documents, forget, materialize
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -37,8 +37,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per document taken: number of tokens, digests of its ids and of what they decode to."""
-    return bpe.encode_digests(docs, RANKS)
+    """A row per document and copy taken: its token ids, their number, a digest of what they decode to."""
+    return bpe.encode_copies(docs, RANKS)
 
 
 STAGES = [
@@ -55,6 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), "stage")
+        if i:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
