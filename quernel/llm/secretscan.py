@@ -1,17 +1,15 @@
 """Secret scans: patterns find candidates, structure confirms keys and signed tokens.
 
 Base kinds are by pattern alone. Confirmed kinds are reported only after
-decoding: `jwt` if a base64url header is JSON that names an algorithm, `pem`,
-`der64` and `derhex` if the bytes are a private key's encoding with every
-nested length consistent.
+decoding and parsing (see keys): `jwt` signed tokens, `pem`, `der64` and
+`derhex` private keys. Candidates are found in one pass over the text and
+the work on each is bounded, so the time is linear in the text.
 """
 
 from __future__ import annotations
 
-import base64
-import binascii
-import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -19,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quernel.llm.common import per_row, rewritten, slim
+from quernel.llm.keys import KEY_BYTES, OPENSSH, decoded64, is_private_key, is_signed_token, pem_keys
 
 #: The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -28,86 +27,19 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der64", "derhex")
 
 _ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-#: Headers whose JSON has white space first or inside the brace.
-_JWT_BLANK = re.compile(r"(?<![A-Za-z0-9_-])(?!eyJ)(?:e[w-z0-9]|I[A-P]|C[Q-Za-v]|D[Q-Za-f])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\n:,-]*?)-----END \1-----")
+#: A first part from where one may start; what follows it is only looked at, so that any part may be a first one.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{11,}+)(?=\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]{4,}+))")
+#: Base64url of JSON that starts with white space, or has it after its brace.
+_JWT_BLANK = re.compile(r"e[w-z0-9]|I[A-P]|C[Q-Za-v]|D[Q-Za-f]")
 #: Base64 of a DER sequence (0x30) starts with M; of an OpenSSH key with these letters.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{38,}={0,2}")
-_HEX_KEY = re.compile(r"(?<![0-9a-fA-F])(?:30|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100)[0-9a-fA-F]{46,}")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{38,}+={0,2}")
+_HEX_KEY = re.compile(r"(?<![0-9a-fA-F])(?:30|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100)[0-9a-fA-F]{46,}+")
 #: The first line of the same over several lines, and base64 of "-----BEGIN ".
 _WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\n))(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{14,}+(?=[ \t]*(?:\r?\n|\\r|\\n))")
 _PEM64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\n))LS0tLS1CRUdJTi")
 _RUN = re.compile(r"[A-Za-z0-9+/]+")
 _BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*(?=[A-Za-z0-9+/])")
 _PADDING = re.compile(r"={0,2}")
-#: No private key's encoding is longer.
-KEY_BYTES = 1 << 16
-OPENSSH = b"openssh-key-v1\0"
-
-
-def _decoded64(text: str) -> bytes | None:
-    body = "".join(text.split()).rstrip("=")
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-
-
-def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of the items that fill `data` exactly; None if lengths don't fit."""
-    items, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
-            return None
-        tag, n = data[at], data[at + 1]
-        at += 2
-        if n & 0x80:
-            k = n & 0x7F
-            if not 1 <= k <= 4 or at + k > len(data):
-                return None
-            n = int.from_bytes(data[at : at + k], "big")
-            at += k
-        if at + n > len(data):
-            return None
-        content = data[at : at + n]
-        if tag & 0x20 and depth < 6 and der_items(content, depth + 1) is None:
-            return None
-        items.append((tag, content))
-        at += n
-    return items
-
-
-def is_private_key(data: bytes | None) -> bool:
-    """A PKCS#1, PKCS#8, encrypted PKCS#8, SEC1 or DSA private key, or an OpenSSH one."""
-    if not data:
-        return False
-    if data.startswith(OPENSSH):
-        at, fields = len(OPENSSH), 0
-        while at + 4 <= len(data) and fields < 3:
-            n = int.from_bytes(data[at : at + 4], "big")
-            at, fields = at + 4 + n, fields + 1
-        return fields == 3 and at + 4 <= len(data)
-    outer = der_items(data)
-    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
-        return False
-    inner = der_items(outer[0][1]) or []
-    tags = [tag for tag, _ in inner]
-    if tags[:1] == [0x02] and inner[0][1] in (b"\0", b"\1"):
-        integers = len(tags) >= 6 and set(tags) == {0x02}  # PKCS#1 or DSA numbers
-        return integers or tags[1:3] == [0x30, 0x04] or tags[1:2] == [0x04]
-    return tags == [0x30, 0x04] and (der_items(inner[0][1]) or [(0, b"")])[0][0] == 0x06  # encrypted
-
-
-def is_signed_token(text: str) -> bool:
-    """A compact token whose first part decodes to a JSON header with an algorithm, and second to JSON or bytes."""
-    try:
-        head, body, _ = text.split(".")
-        header = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-        base64.urlsafe_b64decode(body + "=" * (-len(body) % 4))
-    except (ValueError, binascii.Error, RecursionError):
-        return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
 def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
@@ -126,109 +58,128 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def _lines64(text: str, at: int, most: int | None = None) -> tuple[str, list[tuple[int, int]]]:
-    """The base64 characters from `at` on over line breaks, `most` if given, and where their runs are."""
-    runs, n = [], 0
-    while m := _RUN.match(text, at):
-        end = m.end() if most is None else min(m.end(), at + most - n)
-        runs.append((at, end))
-        n += end - at
-        b = _BREAK.match(text, m.end())
-        if n == most or not b or text.startswith("LS0tLS1CRUdJTi", b.end()):  # another one starts there
-            break
-        at = b.end()
-    return "".join(text[a:b] for a, b in runs), runs
-
-
-def _place(runs: list[tuple[int, int]], n: int) -> int:
-    """Where in the text the first n characters of the runs end."""
-    for a, b in runs:
-        if n <= b - a:
-            return a + n
-        n -= b - a
-    return runs[-1][1]
+class Lines64:
+    """Base64 over several lines: from a place on, the characters of all runs that line breaks alone part.
 
+    The runs of a text are found once, from the first place that is asked for.
+    """
 
-def _key_bytes(head: bytes) -> int | None:
-    """Length of the whole encoding, as its first bytes tell: of DER, or of an OpenSSH key as a whole."""
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends, self.before, self.last = text, [], [], [0], []
+        self.joined = ""
+
+    def _scan(self, start: int) -> None:
+        first, parts, m = 0, [], _RUN.search(self.text, start)
+        while m:
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+            self.before.append(self.before[-1] + m.end() - m.start())
+            parts.append(m[0])
+            if b := _BREAK.match(self.text, m.end()):
+                m = _RUN.match(self.text, b.end())
+                continue
+            self.last += [len(self.starts) - 1] * (len(self.starts) - first)
+            first = len(self.starts)
+            m = _RUN.search(self.text, m.end())
+        self.last += [len(self.starts) - 1] * (len(self.starts) - first)
+        self.joined = "".join(parts)
+
+    def take(self, start: int, most: int, whole: bool = False) -> tuple[str, int]:
+        """Up to `most` characters from `start` on, and where in the text they end (the run of the last one, if whole)."""
+        if not self.starts or start < self.starts[0]:
+            self.__init__(self.text)
+            self._scan(start)
+        i = bisect_right(self.starts, start) - 1
+        at = self.before[i] + start - self.starts[i]
+        to = min(at + most, self.before[self.last[i] + 1])
+        run = bisect_right(self.before, to - 1) - 1
+        return self.joined[at:to], self.ends[run] if whole else self.starts[run] + to - self.before[run]
+
+
+def key_bytes(head: bytes) -> int | None:
+    """Length of a whole encoding, as its first bytes tell: of DER, or of an OpenSSH key."""
     if head.startswith(OPENSSH):
         at = len(OPENSSH)
         for left in (3, None, 1):  # cipher, kdf and its options; public keys; private ones
             if left is None:
                 left, at = int.from_bytes(head[at : at + 4], "big"), at + 4
+                if left > 16:
+                    return None
             for _ in range(left):
                 if at + 4 > len(head):
                     return None
                 at += 4 + int.from_bytes(head[at : at + 4], "big")
         return at
-    if head[:1] != b"0" or len(head) < 6:
+    k = head[1] & 0x7F if len(head) >= 8 and head[1] & 0x80 else 0
+    if head[:1] != b"0" or len(head) < 8 or k > 3 or head[2 + k] not in (0x02, 0x30):
         return None
-    k = head[1] & 0x7F if head[1] & 0x80 else 0
-    return 2 + head[1] if not head[1] & 0x80 else 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else None
+    return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if k else 2 + head[1]
 
 
-def _wrapped_end(text: str, start: int) -> int | None:
+def _wrapped_end(text: str, lines: Lines64, start: int) -> int | None:
     """Where a key's base64 over several lines ends, if one starts here: its own lengths tell."""
     ssh = text.startswith("b3Blb", start)
-    chars, runs = _lines64(text, start, None if ssh else 8)
-    n = _key_bytes(_decoded64(chars[: len(chars) // 4 * 4]) or b"")
+    head = decoded64(text[start : start + 12]) if not ssh else decoded64((x := lines.take(start, 2 * KEY_BYTES)[0])[: len(x) // 4 * 4])
+    n = key_bytes(head or b"")
     if not n or n > KEY_BYTES:
         return None
     need = -(-n * 4 // 3)
-    chars, runs = _lines64(text, start, need)
-    if len(chars) < need or len(runs) < 2 or not is_private_key(_decoded64(chars)):
+    chars, end = lines.take(start, need)
+    if len(chars) < need or "\n" not in text[start:end] and "\\n" not in text[start:end] or not is_private_key(decoded64(chars)):
         return None
-    return _PADDING.match(text, runs[-1][1]).end()
-
+    return _PADDING.match(text, end).end()
 
-def _is_pem_key(m: re.Match) -> bool:
-    lines = [x for x in re.split(r"\\n|\n|\r", m[2]) if ":" not in x]
-    data = _decoded64("".join(lines))
-    return is_private_key(data) or bool("ENCRYPTED" in m[2] and data)
 
-
-def _pem64_end(text: str, start: int) -> int | None:
-    """Where base64 of PEM blocks ends behind the last private key in it."""
-    chars, runs = _lines64(text, start)
-    data = (_decoded64(chars[: len(chars) // 4 * 4]) or b"") + (_decoded64(chars[len(chars) // 4 * 4 :]) or b"")
-    ends = [m.end() for m in _PEM.finditer(data.decode("latin-1")) if _is_pem_key(m)]
+def _pem64_end(text: str, lines: Lines64, start: int, following: int) -> int | None:
+    """Where base64 of PEM blocks ends behind the last private key in it, before the next base64 of PEM."""
+    chars, _ = lines.take(start, following - start)
+    whole = len(chars) // 4 * 4
+    data = (decoded64(chars[:whole]) or b"") + (decoded64(chars[whole:]) or b"")
+    ends = [end for _, end in pem_keys(data.decode("latin-1"))]
     if not ends:
         return None
-    end = _place(runs, min(len(chars), -(-ends[-1] * 4 // 3)))
-    return _PADDING.match(text, _RUN.match(text, end).end() if _RUN.match(text, end) else end).end()
+    tail = ends[-1] + len(data[ends[-1] :]) - len(data[ends[-1] :].lstrip(b"\r\n"))
+    return _PADDING.match(text, lines.take(start, min(len(chars), -(-tail * 4 // 3)), whole=True)[1]).end()
+
+
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    for m in _JWT.finditer(text):
+        at = m[1].find("eyJ")
+        if at < 0:
+            if not _JWT_BLANK.match(m[1]):
+                continue
+            at = 0
+        if is_signed_token(m[1][at:], m[2], m[3]):
+            yield m.start() + at, m.end(3)
 
 
 def confirmed_spans(text: str) -> Iterator[tuple[str, int, int]]:
-    if "eyJ" in text:
-        for m in _JWT.finditer(text):
-            if is_signed_token(m[0]):
-                yield "jwt", *m.span()
-    for m in _JWT_BLANK.finditer(text):
-        if is_signed_token(m[0]):
-            yield "jwt", *m.span()
-    pems = []
-    if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            if _is_pem_key(m):
-                pems.append(m.span())
-                yield "pem", *m.span()
+    """(kind, start, end) of what structure confirms. A key in PEM isn't reported again as the base64 inside."""
+    for start, end in tokens(text):
+        yield "jwt", start, end
+    pems = list(pem_keys(text)) if "PRIVATE KEY-----" in text else []
+    for start, end in pems:
+        yield "pem", start, end
+    lines = Lines64(text)
     if "LS0tLS1CRUdJTi" in text:
-        done = 0
-        for m in _PEM64.finditer(text):
-            if m.start() >= done and (end := _pem64_end(text, m.start())):
+        done, places = 0, [m.start() for m in _PEM64.finditer(text)]
+        for start, following in zip(places, [*places[1:], len(text)], strict=True):
+            if start >= done and (end := _pem64_end(text, lines, start, following)):
                 done = end
-                yield "pem", m.start(), end
+                yield "pem", start, end
     wrapped, done = set(), 0
+    pem_starts = [start for start, _ in pems]
     for m in _WRAPPED.finditer(text):
-        if m.start() >= done and not any(a <= m.start() < b for a, b in pems) and (end := _wrapped_end(text, m.start())):
+        i = bisect_right(pem_starts, m.start()) - 1
+        if m.start() >= done and not (i >= 0 and m.start() < pems[i][1]) and (end := _wrapped_end(text, lines, m.start())):
             wrapped.add(m.start())
             done = end
             yield "der64", m.start(), end
     for m in _BASE64.finditer(text):
-        if m.start() not in wrapped and is_private_key(_decoded64(m[0])):
+        if m.start() not in wrapped and is_private_key(decoded64(m[0])):
             yield "der64", *m.span()
     for m in _HEX_KEY.finditer(text):
-        if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
+        if len(m[0]) % 2 == 0 and len(m[0]) <= 2 * KEY_BYTES and is_private_key(bytes.fromhex(m[0])):
             yield "derhex", *m.span()
 
 
@@ -240,7 +191,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def joined(found: list[tuple[str, int, int]]) -> str:
+def listed(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in found)
 
 
@@ -259,7 +210,7 @@ def scan(docs: DataFrame) -> DataFrame:
         found = spans(text)
         base = [s for s in found if s[0] in KINDS[:3]]
         kinds = [s[0] for s in base]
-        return doc_id, *(kinds.count(k) for k in KINDS[:3]), sha256(joined(base).encode()).hexdigest(), joined(found)
+        return doc_id, *(kinds.count(k) for k in KINDS[:3]), sha256(listed(base).encode()).hexdigest(), listed(found)
 
     return per_row(slim(docs), lambda: of, _SCAN, SCAN_SCHEMA)
 
