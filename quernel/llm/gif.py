@@ -17,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quernel.llm.common import batch_of, slim
+from quernel.llm.common import batch_of, bounded_batches, per_row, slices, slim
 
 MAX_CODES = 4096
+#: Larger canvases and frames are an error: a header of 35 bytes can ask for gigabytes.
+MAX_PIXELS = 1 << 24
 WIDTH = 64
 ROWS_PER_FRAME = 1024
 FRAME_DELAY_MS = 100
@@ -96,8 +98,8 @@ def _offsets(min_size: int) -> np.ndarray:
     return _OFFSETS[min_size]
 
 
-def _expanded(codes: np.ndarray, clear: int) -> bytes:
-    """The samples of the codes between two clears, without a loop over them.
+def _expanded(codes: np.ndarray, clear: int, most: int) -> bytes:
+    """The samples of the codes between two clears, about `most` of them at most, without a loop over them.
 
     The table entry that code i makes is its own output plus the next sample,
     so it lies in the output at the place of code i: a code above the roots
@@ -113,6 +115,8 @@ def _expanded(codes: np.ndarray, clear: int) -> bytes:
         target = to[open_]
         lengths[open_] += lengths[target]
         to[open_] = to[target]
+    needed = int(np.searchsorted(np.cumsum(lengths), most)) + 1  # few codes can stand for gigabytes
+    codes, entry, copies, lengths = codes[:needed], entry[:needed], copies[:needed], lengths[:needed]
     starts = np.cumsum(lengths) - lengths
     source = np.arange(int(lengths.sum()))
     shift = np.where(copies, starts - starts[np.maximum(entry, 0)], 0)
@@ -156,7 +160,7 @@ def lzw_decode(data: bytes, min_size: int, expected: int) -> bytes:
             continue
         segment = np.concatenate(pending)
         if len(segment):
-            out.append(_expanded(segment, clear))
+            out.append(_expanded(segment, clear, expected - size))
             size += len(out[-1])
         if not whole or codes[stop] == end:
             break
@@ -216,6 +220,8 @@ def decode(data: bytes) -> Gif:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("no GIF header")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MAX_PIXELS:
+        raise GifError(f"a canvas of {width} x {height}; the limit is {MAX_PIXELS} pixels")
     palette, at = _palette(data, 13, flags)
     gif = Gif(width, height, background, palette)
     delay, disposal, transparent = 0, 0, None
@@ -235,6 +241,8 @@ def decode(data: bytes) -> Gif:
             if at + 10 > len(data):
                 raise GifError("an image descriptor runs past the end")
             left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at)
+            if w * h > MAX_PIXELS:
+                raise GifError(f"a frame of {w} x {h}; the limit is {MAX_PIXELS} pixels")
             own, at = _palette(data, at + 9, flags)
             if at >= len(data) or not 2 <= data[at] <= 8:
                 raise GifError("bad code size")
@@ -278,11 +286,11 @@ def composed(gif: Gif) -> Iterator[np.ndarray]:
             area[:] = before
 
 
-def colour_histogram(rgba: np.ndarray) -> list[int]:
+def colour_histogram(rgba: np.ndarray) -> np.ndarray:
     """Opaque pixels by the top two bits of red, green and blue: 64 counts."""
-    pixels = rgba.reshape(-1, 4)
-    pixels = pixels[pixels[:, 3] > 0] >> 6
-    return np.bincount(pixels[:, 0] * 16 + pixels[:, 1] * 4 + pixels[:, 2], minlength=64).tolist()
+    pixels = np.ascontiguousarray(rgba).view("<u4").ravel()
+    bins = (pixels >> 2 & 0x30 | pixels >> 12 & 0x0C | pixels >> 22 & 0x03) | np.where(pixels >> 24, 0, 64).astype(np.uint32)
+    return np.bincount(bins, minlength=65)[:64]
 
 
 def spread_palette() -> np.ndarray:
@@ -292,7 +300,6 @@ def spread_palette() -> np.ndarray:
 
 
 PALETTE = spread_palette()
-_BUCKETS = (PALETTE >> 7) @ np.array([4, 2, 1], np.uint8)
 
 
 def encode(frames: list[Frame], width: int, height: int, palette: np.ndarray = PALETTE) -> bytes:
@@ -308,12 +315,20 @@ def encode(frames: list[Frame], width: int, height: int, palette: np.ndarray = P
     return b"".join([*parts, b"\x3b"])
 
 
-def store_payload(data: bytes) -> tuple[bytes, int]:
-    """Pad with zero bytes to a positive multiple of UNIT, store as frames of WIDTH columns."""
+#: The sample of padding is transparent; frames take turns to stay, to be cleared and to give back what was there.
+CLEAR_SAMPLE = 0
+DISPOSALS = (1, 2, 3)
+
+
+def store_payload(data: bytes, palette: np.ndarray = PALETTE) -> tuple[bytes, int]:
+    """Pad with zero bytes to a positive multiple of UNIT, store as timed frames of WIDTH columns."""
     size = max(UNIT, -(-len(data) // UNIT) * UNIT)
     rows = np.frombuffer(data.ljust(size, b"\0"), np.uint8).reshape(-1, WIDTH)
-    frames = [Frame(0, 0, rows[i : i + ROWS_PER_FRAME], PALETTE, FRAME_DELAY_MS, 1) for i in range(0, len(rows), ROWS_PER_FRAME)]
-    return encode(frames, WIDTH, min(len(rows), ROWS_PER_FRAME)), size
+    frames = [
+        Frame(0, 0, rows[at : at + ROWS_PER_FRAME], palette, FRAME_DELAY_MS, DISPOSALS[i % len(DISPOSALS)], CLEAR_SAMPLE)
+        for i, at in enumerate(range(0, len(rows), ROWS_PER_FRAME))
+    ]
+    return encode(frames, WIDTH, min(len(rows), ROWS_PER_FRAME), palette), size
 
 
 def load_payload(media: bytes) -> tuple[bytes, Gif]:
@@ -321,48 +336,61 @@ def load_payload(media: bytes) -> tuple[bytes, Gif]:
     return b"".join(f.samples.tobytes() for f in gif.frames), gif
 
 
-def feature(gif: Gif) -> str:
-    """Frames, canvas, duration and pixels by the top bits of red, green, blue."""
-    counts = sum(np.bincount(f.samples.ravel(), minlength=256) for f in gif.frames)
-    histogram = np.bincount(_BUCKETS, weights=counts, minlength=8).astype(np.int64)
-    return f"frames={len(gif.frames)};size={gif.width}x{gif.height};ms={gif.duration_ms};rgb={','.join(map(str, histogram))}"
+def timed_frames(gif: Gif) -> Iterator[tuple[int, Frame, np.ndarray, np.ndarray]]:
+    """(start in ms, frame, composed canvas, its histogram) of each frame, one canvas at a time."""
+    start = 0
+    for f, canvas in zip(gif.frames, composed(gif), strict=True):
+        yield start, f, canvas, colour_histogram(canvas)
+        start += f.delay_ms
+
+
+def feature(gif: Gif, histograms: list[np.ndarray]) -> str:
+    """Frames, canvas, duration, and what the canvases show: opaque pixels and their sums by half of red, green and blue."""
+    total = np.sum(histograms, axis=0, dtype=np.int64) if histograms else np.zeros(64, np.int64)
+    halves = total.reshape(2, 2, 2, 2, 2, 2).sum(axis=(1, 3, 5)).ravel()
+    return f"frames={len(gif.frames)};size={gif.width}x{gif.height};ms={gif.duration_ms};shown={total.sum()};rgb={','.join(map(str, halves))}"
+
 
+_FRAME = pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("histogram", pa.list_(pa.int32()))])
+_MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64()), ("duration_ms", pa.int64()), ("frames", pa.list_(_FRAME))])
+MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms long, frames array<struct<start_ms: long, delay_ms: int, disposal: int, histogram: array<int>>>"
 
-_MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64()), ("duration_ms", pa.int64())])
-MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms long"
+
+def _utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 def text_media(docs: DataFrame) -> DataFrame:
     """Every text stored as a GIF, read back and described.
 
-    A null text is empty, and an empty one is 64 zero bytes. A null doc_id
-    stays null; repeated rows repeat; an empty table gives no rows.
+    feature and frames come from the stored file alone: its palette, timing,
+    disposal and transparency, by way of the composed canvases. A null text is
+    empty, and an empty one is 64 zero bytes. A null doc_id stays null;
+    repeated rows repeat; an empty table gives no rows. Other columns are not
+    looked at.
     """
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                media, _ = store_payload(data)
-                payload, gif = load_payload(media)
-                rows.append((doc_id, len(data), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), sha256(media).hexdigest(), feature(gif), len(gif.frames), gif.duration_ms))
-            yield batch_of(_MEDIA, rows)
+    def of(doc_id, text):
+        data = _utf8(text)
+        media, _ = store_payload(data)
+        payload, gif = load_payload(media)
+        frames = [(start, f.delay_ms, f.disposal, histogram) for start, f, _, histogram in timed_frames(gif)]
+        shown = feature(gif, [f[3] for f in frames])
+        stored = [{"start_ms": a, "delay_ms": b, "disposal": c, "histogram": h.astype(np.int32)} for a, b, c, h in frames]
+        return doc_id, len(data), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), sha256(media).hexdigest(), shown, len(frames), gif.duration_ms, stored
 
-    return slim(docs).mapInArrow(run, MEDIA_SCHEMA)
+    return per_row(slim(docs), lambda: of, _MEDIA, MEDIA_SCHEMA)
 
 
 _STORED = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
 
 
 def store_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): the GIF bytes of every text."""
+    """(doc_id, media): the GIF bytes of every text, null and empty ones as 64 zero bytes.
 
-    def run(batches):
-        for batch in batches:
-            yield batch_of(_STORED, [(i, store_payload((t or "").encode("utf-8", "surrogatepass"))[0]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
-
-    return slim(docs).mapInArrow(run, "doc_id long, media binary")
+    Null doc_ids and repeated rows pass through; an empty table gives no rows.
+    """
+    return per_row(slim(docs), lambda: lambda doc_id, text: (doc_id, store_payload(_utf8(text))[0]), _STORED, "doc_id long, media binary")
 
 
 _FRAMES = pa.schema([("id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("disposal", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64())), ("rgba", pa.binary()), ("error", pa.string())])
@@ -371,21 +399,23 @@ _FRAMES = pa.schema([("id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.
 def gif_frames(df: DataFrame, id_column: str, media_column: str) -> DataFrame:
     """One row per frame: when it shows, its composed canvas and 64-bin colour histogram.
 
-    Bytes that can't be decoded (null too) give one row with `error` set.
+    Bytes that can't be decoded (null too, or of more than MAX_PIXELS) give one
+    row with `error` set; a GIF without frames gives none. Null ids and
+    repeated rows pass through; an empty table gives no rows. One canvas is
+    held at a time.
     """
 
     def run(batches):
-        for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows, start = [], 0
+        for part in (p for batch in batches for p in slices(batch)):
+            for key, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 try:
                     gif = decode(data or b"")
-                    for i, (f, canvas) in enumerate(zip(gif.frames, composed(gif), strict=True)):
-                        rows.append((key, i, start, f.delay_ms, f.disposal, gif.width, gif.height, colour_histogram(canvas), canvas.tobytes(), None))
-                        start += f.delay_ms
                 except GifError as e:
-                    rows = [(key, None, None, None, None, None, None, None, None, str(e))]
-                yield batch_of(_FRAMES, rows)
+                    yield batch_of(_FRAMES, [(key, *[None] * 8, str(e))])
+                    continue
+                for i, (start, f, canvas, histogram) in enumerate(timed_frames(gif)):
+                    yield batch_of(_FRAMES, [(key, i, start, f.delay_ms, f.disposal, gif.width, gif.height, histogram, canvas.tobytes(), None)])
 
+    bounded_batches(df.sparkSession)
     schema = "id long, frame int, start_ms long, delay_ms long, disposal int, width int, height int, histogram array<long>, rgba binary, error string"
     return df.select(df[id_column].cast("long"), df[media_column]).mapInArrow(run, schema)
