@@ -56,16 +56,51 @@ def test_ids_round_trip(odd, odd_rows):
 @pytest.mark.parametrize("seed", [2, 3])
 def test_counts_are_the_librarys(seed):
     tok = tokencount.tokenizer(VOCABULARY)
-    lengths, specials = tokencount.Lengths({"a": 1}, tok), tokencount.special_pattern(tok)
+    lengths, specials = tokencount.Lengths(tokencount.Table({"a": 1}), tok), tokencount.special_pattern(tok)
     for text in texts(600, seed):
         assert tokencount.count(text, lengths, specials) == tokencount.library_count(tok, text), repr(text)
 
 
 def test_bounded_cache(monkeypatch):
-    monkeypatch.setattr(tokencount, "CACHE_ENTRIES", 5)
-    lengths = tokencount.Lengths({"the": 1}, tokencount.tokenizer(VOCABULARY))
+    monkeypatch.setattr(tokencount, "CACHE_BYTES", 5 * 130)
+    lengths = tokencount.Lengths(tokencount.Table({"the": 1}), tokencount.tokenizer(VOCABULARY))
     for i in range(40):
         assert lengths[f"w{i}"] >= 1 and len(lengths) <= 6
+    assert lengths["the"] == 1 and lengths.encoded == 40
+    lengths["x" * 1000]
+    assert "x" * 1000 not in lengths
+
+
+def test_table():
+    words = {f"w{i}": 1 + i % 9 for i in range(5000)}
+    table = tokencount.Table(words | {"zero": 0, "long": 1 << 20})
+    assert len(table) == 5000 and all(table.get(w) == n for w, n in words.items())
+    assert not any(table.get(f"v{i}") for i in range(5000)) and not table.get("zero") and not table.get("long")
+    assert tokencount.Table({}).get("x") == 0
+
+
+MIXED = "Ein Satz \U0001f600 mit Zeichen, 日本語のテキスト、한국어 문장 и русский; हिन्दी पाठ, e\u0301 \u200dx ٣٤ عربى\x1c ok don't 'S  \n\n end."
+
+
+def test_no_text_goes_to_the_library_whole(monkeypatch):
+    """Characters on which this module's pattern and the library may differ change who cuts, not who looks up."""
+    tok = tokencount.tokenizer(VOCABULARY)
+    text = " ".join([MIXED, *(f"plain words {i} in between" for i in range(3000))] * 4)
+    want = len(tok.encode(text, add_special_tokens=False).ids)
+    seen = []
+    whole = tokencount.library_count
+    monkeypatch.setattr(tokencount, "library_count", lambda t, pre: seen.append(pre) or whole(t, pre))
+    lengths = tokencount.Lengths(tokencount.Table({" plain": 1, " words": 1}), tok)
+    assert tokencount.count(text, lengths, tokencount.special_pattern(tok)) == want
+    assert max(map(len, seen)) <= 12 and len(seen) == len(set(seen)) and " plain" not in seen
+
+
+def test_frequent_pre_tokens_come_from_all_rows(spark):
+    docs = spark.createDataFrame([(i, ("seldom " if i % 7 else "often! ") * 50 + f" only{i}") for i in range(60)] + [(None, None), (61, "")], "doc_id long, text string").repartition(6)
+    found = tokencount.frequent_lengths(docs, VOCABULARY)
+    tok = tokencount.tokenizer(VOCABULARY)
+    assert {" seldom", " often", "!", "often"} <= set(found) and not any("only" in p for p in found)
+    assert all(n == tokencount.library_count(tok, p) for p, n in found.items())
 
 
 def test_count_query(odd, odd_rows, none):
