@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -17,6 +18,7 @@ from quernel.plans.sqlgen import to_sql
 from quernel.plans.textql import parse, validate
 from quernel.sources.catalog import Catalog
 from quernel.sources.tables import load_relation
+from quernel.streaming.monitor import Counters
 
 NULL_TEXT = "NULL"
 CONCURRENT_QUERIES = 8
@@ -29,17 +31,21 @@ def result_line(df: DataFrame) -> DataFrame:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, catalog: Catalog | None = None, mode: str = "auto", numeric: str = "bigint"):
+    def __init__(self, spark: SparkSession, catalog: Catalog | None = None, mode: str = "auto", numeric: str = "exact"):
         self.spark = spark
         self.catalog = catalog if catalog is not None else Catalog(spark)
         self.mode, self.numeric = mode, numeric
+        self.counters = Counters()
 
     def load(self, path: str) -> int:
+        """Add the relation at a path, by name Parquet, text or binary, of any unsigned 64-bit values; its id."""
         return self.catalog.add(load_relation(self.spark, path))
 
     def plan(self, query: str | Query, mode: str | None = None) -> Plan:
         parsed = parse(query) if isinstance(query, str) else query
-        return plan(parsed, self.catalog, mode or self.mode, self.numeric)
+        made = plan(parsed, self.catalog, mode or self.mode, self.numeric)
+        self.counters.add(queries=1, scans=len(made.steps), joins=len(made.steps) - 1, counted_scans=len(made.counted))
+        return made
 
     def query(self, query: str | Query, mode: str | None = None) -> DataFrame:
         """One row of sums s0, s1, ...; lazy."""
@@ -66,7 +72,10 @@ class Engine:
         """Result lines in submission order; the queries run side by side."""
 
         def one(text: str) -> str:
-            return result_line(self.query(text, mode)).first()[0]
+            began = time.monotonic()
+            line = result_line(self.query(text, mode)).first()[0]
+            self.counters.add(results=1, null_results=int(NULL_TEXT in line.split()), milliseconds=int(1000 * (time.monotonic() - began)))
+            return line
 
         with ThreadPoolExecutor(CONCURRENT_QUERIES) as pool:
             run_one = inheritable_thread_target(self.spark)(one)

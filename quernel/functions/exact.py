@@ -33,9 +33,14 @@ def exact_sum(value: Column, kind: T.DataType) -> Column:
     return total
 
 
-def weighted_sum(value: Column, weight: Column, wide: bool = False) -> Column:
-    """DECIMAL(38,0) sum of value times multiplicity; neither factor nor product overflows, unless a wide value's product is over 38 digits."""
-    return F.sum((value.cast(WIDE if wide else T.DecimalType(20, 0)) * weight.cast(T.DecimalType(18, 0))).cast(WIDE)).cast(WIDE)
+def product(a: Column, b: Column) -> Column:
+    """DECIMAL(38,0) product of multiplicities: no bigint of theirs overflows, only what has over 38 digits."""
+    return (a.cast(WIDE) * b.cast(WIDE)).cast(WIDE)
+
+
+def weighted_sum(value: Column, weight: Column) -> Column:
+    """DECIMAL(38,0) sum of value times multiplicity, exact up to 38 digits."""
+    return F.sum(product(value, weight)).cast(WIDE)
 
 
 def finish(total: Column, numeric: str) -> Column:

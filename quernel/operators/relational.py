@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions.exact import exact_sum, finish, weighted_sum
+from quernel.functions.exact import exact_sum, finish, product, weighted_sum
 
 COUNT = "__n"
 _COMPARE = {"<": Column.__lt__, ">": Column.__gt__, "=": Column.__eq__}
@@ -44,7 +44,7 @@ def residual_equality(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def group_count(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct values with their multiplicity in __n; multiplicities already there add up."""
+    """Distinct values with their multiplicity in __n; multiplicities already there add up, as DECIMAL(38,0) if they are."""
     n = F.sum(COUNT) if COUNT in df.columns else F.count(F.lit(1))
     return df.groupBy(*columns).agg(n.alias(COUNT))
 
@@ -57,11 +57,11 @@ def counted_filter(df: DataFrame, column: str, filters: Sequence[tuple[str, int]
 def counted_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], output: Sequence[str]) -> DataFrame:
     """Join of counted inputs: multiplicities multiply, then equal output rows merge."""
     right = right.withColumnRenamed(COUNT, "__n_right")
-    both = equi_join(left, right, pairs).withColumn(COUNT, F.col(COUNT) * F.col("__n_right"))
+    both = equi_join(left, right, pairs).withColumn(COUNT, product(F.col(COUNT), F.col("__n_right")))
     return group_count(both, output)
 
 
-def checksum(df: DataFrame, columns: Sequence[str], numeric: str = "bigint") -> DataFrame:
+def checksum(df: DataFrame, columns: Sequence[str], numeric: str = "exact") -> DataFrame:
     """One row: the sum of each column as s0, s1, ...; zero and empty are null."""
     totals = []
     for i, name in enumerate(columns):

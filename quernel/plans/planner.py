@@ -9,7 +9,10 @@ repeats the values a query needs, its scan becomes (values, count); joins
 multiply counts and the root sums value * count. Inner equi-joins under bag
 semantics keep their result under this, cycles and self-joins included. Where
 two bindings alone meet on keys that both repeat, each side becomes one row a
-key with its sums and count, so that a hot key's pairs are never made.
+key with its sums and count, so that a hot key's pairs are never made. The
+automatic choice asks the catalog's samples: a relation is counted if its
+values repeat and a join's key repeats on both of its sides; one row a key
+pays if the pairs would be many more than the rows.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions.exact import exact_sum, finish, weighted_sum
+from quernel.functions.exact import exact_sum, finish, product, weighted_sum
 from quernel.operators.relational import COUNT, checksum, equi_join, filter_scan, group_count, residual_equality
 from quernel.plans.ir import EquiPred, Query
 from quernel.plans.rewrite import join_steps, rewrite
@@ -27,6 +30,9 @@ from quernel.plans.textql import validate
 from quernel.sources.catalog import Catalog
 
 MODES = ("auto", "on", "off")
+#: A join by key pays from so many pairs, and so many for each row of either side, on.
+LEAST_PAIRS = 20_000_000
+PAIRS_A_ROW = 8
 
 
 @dataclass(frozen=True)
@@ -54,20 +60,26 @@ def _leaf(query: Query, catalog: Catalog, binding: int, mode: str) -> tuple[Data
     needed = _needed(query, binding)
     filters = [(f"c{f.column.col}", f.op, f.value) for f in query.filters if f.column.binding == binding]
     df = filter_scan(catalog.get(rel), filters, [f"c{i}" for i in needed])
-    counted = bool(needed) and (mode == "on" or mode == "auto" and catalog.duplicated(rel, needed))
+    counted = bool(needed) and (mode == "on" or mode == "auto" and catalog.duplicated(rel, needed) and _meets_repeated(query, catalog, binding))
     if counted:
         df = group_count(df, df.columns)
     names = [F.col(f"c{i}").alias(f"b{binding}_c{i}") for i in needed]
     return df.select(*names, *([F.col(COUNT)] if counted else [])), counted
 
 
+def _meets_repeated(query: Query, catalog: Catalog, binding: int) -> bool:
+    """Whether a join of this binding has a key that repeats on both sides."""
+    between = [p for p in query.predicates if len({c.binding for c in p.sides}) == 2 and binding in {c.binding for c in p.sides}]
+    return any(all(catalog.duplicated(query.relations[c.binding], [c.col]) for c in p.sides) for p in between)
+
+
 def _join(left: DataFrame, right: DataFrame, binding: int, on: list[EquiPred]) -> DataFrame:
     if COUNT in left.columns and COUNT in right.columns:
         right = right.withColumnRenamed(COUNT, "__m")
     here = [p.sides if p.right.binding == binding else p.sides[::-1] for p in on if p.left.binding != p.right.binding]
     df = equi_join(left, right, [(a.flat, b.flat) for a, b in here])
     if "__m" in df.columns:
-        df = df.withColumn(COUNT, F.col(COUNT) * F.col("__m")).drop("__m")
+        df = df.withColumn(COUNT, product(F.col(COUNT), F.col("__m"))).drop("__m")
     for p in on:
         if p.left.binding == p.right.binding:
             df = residual_equality(df, p.left.flat, p.right.flat)
@@ -79,10 +91,14 @@ def _keys(query: Query, binding: int) -> list[int]:
 
 
 def _meets_by_key(query: Query, catalog: Catalog, mode: str) -> bool:
-    """Whether both sides of the only join become one row a key: always if on, where both repeat their keys if auto."""
+    """Whether both sides of the only join become one row a key: always if on, where pairs are many if auto."""
     if mode == "off" or len(query.relations) != 2 or any(p.left.binding == p.right.binding for p in query.predicates):
         return False
-    return mode == "on" or all(catalog.duplicated(rel, _keys(query, b)) for b, rel in enumerate(query.relations))
+    if mode == "on":
+        return True
+    sides = [[c.col for p in query.predicates for c in p.sides if c.binding == b] for b in (0, 1)]
+    pairs = catalog.pairs(query.relations[0], sides[0], query.relations[1], sides[1])
+    return pairs >= max(LEAST_PAIRS, PAIRS_A_ROW * sum(catalog.statistics(rel).rows for rel in query.relations))
 
 
 def _sums_by_key(query: Query, catalog: Catalog, on: list[EquiPred], numeric: str) -> DataFrame:
@@ -96,11 +112,11 @@ def _sums_by_key(query: Query, catalog: Catalog, on: list[EquiPred], numeric: st
         sides.append(leaf.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n{binding}"), *totals))
     pairs = [p.sides if p.left.binding == 0 else p.sides[::-1] for p in on]
     met = equi_join(*sides, [(a.flat, b.flat) for a, b in pairs])
-    totals = [weighted_sum(F.col(f"sum_{c.flat}"), F.col(f"n{1 - c.binding}"), wide=True) for c in query.sums]
+    totals = [weighted_sum(F.col(f"sum_{c.flat}"), F.col(f"n{1 - c.binding}")) for c in query.sums]
     return met.agg(*[finish(t, numeric).alias(f"s{i}") for i, t in enumerate(totals)])
 
 
-def plan(query: Query, catalog: Catalog, mode: str = "auto", numeric: str = "bigint", optimize: bool = True) -> Plan:
+def plan(query: Query, catalog: Catalog, mode: str = "auto", numeric: str = "exact", optimize: bool = True) -> Plan:
     """mode: count multiplicities where statistics say so (auto), everywhere (on) or nowhere (off)."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")

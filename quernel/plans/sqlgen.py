@@ -19,8 +19,8 @@ def to_sql(query: Query, dialect: str = "ansi", result: bool = False) -> str:
         return f"{q}{c.binding}{q}.c{c.col}"
 
     sums = [f"SUM({col(c)})" for c in query.sums]
-    if result:
-        sums = [f"CAST(NULLIF({s}, 0) AS BIGINT) AS s{i}" for i, s in enumerate(sums)]
+    if result:  # as decimals, which no sum of 64-bit values is too large for
+        sums = [f"CAST(NULLIF(SUM(CAST({col(c)} AS DECIMAL(38,0))), 0) AS DECIMAL(38,0)) AS s{i}" for i, c in enumerate(query.sums)]
     tables = [f"r{rel} {q}{i}{q}" for i, rel in enumerate(query.relations)]
     conditions = [f"{col(p.left)} = {col(p.right)}" for p in query.predicates]
     conditions += [f"{col(f.column)} {f.op} {f.value}" for f in query.filters]

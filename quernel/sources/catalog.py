@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
+
+import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,19 @@ SAMPLE_ROWS = 20_000
 DUPLICATED = 2
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Number of rows, and every stride-th of them: columns by number."""
+
+    rows: int
+    sample: dict[int, np.ndarray]
+
+    def keys(self, columns: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The different values of these columns in the sample, and how often each is there."""
+        picked = [self.sample[c] for c in columns]
+        return np.unique(np.rec.fromarrays(picked) if len(picked) > 1 else picked[0], return_counts=True)
+
+
 class Catalog:
     """An ordered list of relations; a relation's id is its place in it.
 
@@ -26,7 +42,7 @@ class Catalog:
         self._relations: list[DataFrame | None] = []
         self._openers: list[Callable[[], DataFrame] | None] = []
         self._arities: list[int] = []
-        self._duplication: dict[tuple[int, frozenset[int]], float] = {}
+        self._statistics: dict[int, Statistics] = {}
 
     def add(self, df: DataFrame, columns: Iterable[str] | None = None) -> int:
         """Register the named columns (all by default) and return the new id."""
@@ -61,21 +77,54 @@ class Catalog:
     def arities(self) -> dict[int, int]:
         return dict(enumerate(self._arities))
 
-    def duplication(self, rel: int, columns: Iterable[int]) -> float:
-        """Rows per distinct value of these columns among the first SAMPLE_ROWS; 0 if empty.
+    def statistics(self, rel: int) -> Statistics:
+        """Rows and a sample of one relation, taken once: by two jobs, of which the second reads integers only.
 
-        Reads a few partitions however large the relation is, once per
-        relation and column set. It steers the plan, never the result.
+        The stride is rows / SAMPLE_ROWS, whole, within each partition: below
+        twice SAMPLE_ROWS all rows, else so many to twice as many. It steers
+        the plan, never the result.
         """
-        key = (rel, frozenset(columns))
-        if key not in self._duplication:
-            rows = self.get(rel).select(*[f"c{i}" for i in sorted(key[1])]).take(SAMPLE_ROWS)
-            self._duplication[key] = len(rows) / len(set(rows)) if rows else 0.0
-        return self._duplication[key]
+        if rel not in self._statistics:
+            df = self.get(rel)
+            rows = df.count() if df.columns else 0
+            stride = max(1, rows // SAMPLE_ROWS)
+            picked = [F.col(c).cast("string").alias(c) if isinstance(df.schema[c].dataType, T.DecimalType) else F.col(c) for c in df.columns]
+            table = df.where(F.monotonically_increasing_id() % stride == 0).select(*picked).toArrow() if rows else None
+            # nulls join with nothing, but count as a value of their own here
+            columns = {i: table.column(i).to_pandas().astype(str).to_numpy(str) if table.column(i).null_count else table.column(i).to_numpy() for i in range(len(df.columns))} if rows else {}
+            self._statistics[rel] = Statistics(rows, {i: c.astype(str) if c.dtype == object else c for i, c in columns.items()})
+        return self._statistics[rel]
+
+    def analyze(self) -> None:
+        """Take the statistics of all relations now; else a query's plan takes those of the relations that it names."""
+        for rel in range(len(self)):
+            self.statistics(rel)
+
+    def duplication(self, rel: int, columns: Iterable[int]) -> float:
+        """Rows per different value of these columns in the sample; 0 if empty."""
+        found = self.statistics(rel)
+        if not found.rows:
+            return 0.0
+        counts = found.keys(sorted(set(columns)))[1]
+        return float(counts.sum() / len(counts))
 
     def duplicated(self, rel: int, columns: Iterable[int]) -> bool:
         return int(self.duplication(rel, columns)) >= DUPLICATED
 
+    def pairs(self, left: int, left_columns: Sequence[int], right: int, right_columns: Sequence[int]) -> float:
+        """How many rows the join of two relations on these columns has, as their samples tell."""
+        a, b = self.statistics(left), self.statistics(right)
+        if not a.rows or not b.rows:
+            return 0.0
+        (left_keys, left_n), (right_keys, right_n) = a.keys(left_columns), b.keys(right_columns)
+        if left_keys.dtype.fields:
+            left_keys, right_keys = (np.array([repr(x) for x in keys.tolist()]) for keys in (left_keys, right_keys))
+        elif left_keys.dtype.kind != right_keys.dtype.kind:
+            left_keys, right_keys = left_keys.astype(str), right_keys.astype(str)
+        _, i, j = np.intersect1d(left_keys, right_keys, assume_unique=True, return_indices=True)
+        met = float((left_n[i].astype(float) * right_n[j]).sum())
+        return met * a.rows / left_n.sum() * b.rows / right_n.sum()
+
 
 def testdata_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The integer columns of the generated tables, in a fixed order of ids.

@@ -9,7 +9,9 @@ that pyarrow can open is read (a bare path is a local or mounted one).
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 HEADER_BYTES = 16
 ROWS_PER_SPLIT = 4_000_000
@@ -65,8 +67,8 @@ class RowRange(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType):
-        self.path, self.schema = path, schema
+    def __init__(self, path: str, schema: T.StructType, bits: bool = False):
+        self.path, self.schema, self.bits = path, schema, bits
 
     def partitions(self):
         ranges = []
@@ -88,36 +90,59 @@ class _Reader(DataSourceReader):
                     values = np.frombuffer(f.read_at(8 * n, HEADER_BYTES + 8 * (c * part.rows + i)), "<u8")
                     if is_wide:
                         columns.append(pa.array(values).cast(pa.decimal128(20, 0)))
-                    elif n and int(values.max()) >> 63:
+                    elif n and not self.bits and int(values.max()) >> 63:
                         raise RelationFormatError(f"{part.file} column {c} has values over 2^63; read it with unsigned=true")
                     else:
                         columns.append(pa.array(values.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in self.schema])
 
 
+def _unsigned_bytes(values: pa.Array) -> bytes:
+    """The values as u64; null, negative and fractional ones have no place in the format."""
+    if values.null_count:
+        raise RelationFormatError("the format has no nulls")
+    if pa.types.is_decimal(values.type):
+        return np.array([int(v) for v in values.to_pylist()], "<u8").tobytes()
+    if not pa.types.is_integer(values.type):
+        raise RelationFormatError(f"the format has no {values.type}")
+    plain = values.to_numpy(zero_copy_only=False)
+    if len(plain) and plain.min() < 0:
+        raise RelationFormatError("the format has no negative values")
+    return plain.astype("<u8").tobytes()
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     file: str
 
 
-class _Writer(DataSourceWriter):
-    """One file per task; a failed or repeated task leaves no file that is read."""
+class _Writer(DataSourceArrowWriter):
+    """One file per task; a failed or repeated task leaves no file that is read.
+
+    Columns grow side by side in files of the task's own, as the number of
+    rows, and so each one's place, is known at the end only.
+    """
 
     def __init__(self, path: str, arity: int, overwrite: bool):
         self.path, self.arity, self.overwrite = path, arity, overwrite
 
-    def write(self, rows):
-        columns = [[] for _ in range(self.arity)]
-        for row in rows:
-            for values, value in zip(columns, row, strict=True):
-                values.append(int(value))
-        store, inner = _open(self.path)
-        store.create_dir(inner, recursive=True)
-        name = f"{inner}/part-{uuid.uuid4().hex}.tmp"
-        with store.open_output_stream(name) as f:
-            f.write(np.array([len(columns[0]) if columns else 0, self.arity], "<u8").tobytes())
-            for values in columns:
-                f.write(np.array(values, dtype="<u8").tobytes())
+    def write(self, batches):
+        rows = 0
+        with ExitStack() as held:
+            columns = [held.enter_context(tempfile.TemporaryFile()) for _ in range(self.arity)]
+            for batch in batches:
+                rows += batch.num_rows
+                for file, values in zip(columns, batch.columns, strict=True):
+                    file.write(_unsigned_bytes(values))
+            store, inner = _open(self.path)
+            store.create_dir(inner, recursive=True)
+            name = f"{inner}/part-{uuid.uuid4().hex}.tmp"
+            with store.open_output_stream(name) as f:
+                f.write(np.array([rows, self.arity], "<u8").tobytes())
+                for file in columns:
+                    file.seek(0)
+                    while part := file.read(1 << 20):
+                        f.write(part)
         return _Written(name)
 
     def commit(self, messages):
@@ -137,7 +162,7 @@ class _Writer(DataSourceWriter):
 
 
 class ColRelDataSource(DataSource):
-    """format("colrel"); option unsigned=true reads DECIMAL(20,0) columns."""
+    """format("colrel"); option unsigned=true reads DECIMAL(20,0) columns, bits=true the 64 bits as a signed long."""
 
     @classmethod
     def name(cls) -> str:
@@ -151,7 +176,7 @@ class ColRelDataSource(DataSource):
         return T.StructType([T.StructField(f"c{i}", kind, False) for i in range(cols)])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], schema)
+        return _Reader(self.options["path"], schema, str(self.options.get("bits", "false")).lower() == "true")
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"], len(schema.fields), overwrite)
@@ -165,6 +190,15 @@ def read_colrel(spark: SparkSession, path: str, unsigned: bool = False) -> DataF
     return spark.read.format("colrel").option("unsigned", str(unsigned).lower()).load(path)
 
 
+def read_bits(spark: SparkSession, path: str) -> DataFrame:
+    """Every value's 64 bits as a BIGINT: those from 2^63 on come out negative."""
+    spark.dataSource.register(ColRelDataSource)
+    files = _files(path)
+    if files and read_header(path, files[0])[1] == 0:
+        return spark.createDataFrame([], T.StructType([]))
+    return spark.read.format("colrel").option("bits", "true").load(path)
+
+
 def write_colrel(df: DataFrame, path: str, single: bool = False) -> None:
     """A folder of relation files, one per partition; single: one file only (small relations)."""
     df.sparkSession.dataSource.register(ColRelDataSource)
