@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.llm.common import materialize
+
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 LOW_BITS = 4
@@ -24,8 +26,11 @@ VALUE_MASK = (1 << VALUE_BITS) - 1
 #: Probes tried one by one before the whole sequence is searched.
 QUICK_PROBES = 12
 BLANKS = r"[\x20\x09-\x0D]+"
-ROWS_PER_BUCKET = 500
-BUCKET_BITS = 16
+#: What a document goes by: null ids first, then ids, then a hash of the text in two halves.
+KEY = ("given", "id", "tie", "tie2")
+KEYS_PER_RANGE = 250_000
+#: Equal rows are given out in runs of so many.
+RUN = 100_000
 
 
 def _probes(bin_: int) -> list[int]:
@@ -96,43 +101,23 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (1 - misses / F.lit(float(BINS)) - chance) / (1 - chance))
 
 
-def with_next(df: DataFrame, key: str, tie: str, carried: list[str], source: DataFrame | None = None) -> DataFrame:
-    """df and next_<column> of the row that follows by (key, tie), null keys first; the last is followed by the first.
+def in_order(keys: DataFrame) -> DataFrame:
+    """keys, one row each of KEY in ascending order, with prev_<column>: the row before; before the first comes the last.
 
-    Rows are dealt by ranges of the key to buckets of about ROWS_PER_BUCKET, in
-    one exchange. The first row of each bucket also goes to the bucket before
-    as a ghost, so that no bucket needs another. source: a cheaper frame with
-    the same keys and ties, for the boundaries.
+    Rows are dealt by ranges, written, and look back within their file; one
+    row a file tells where the file before ends.
     """
-    keys = source if source is not None else df
-    n = keys.count()
-    buckets = min(1 << BUCKET_BITS, max(1, n // ROWS_PER_BUCKET))
-    fractions = [i / buckets for i in range(1, buckets)]
-    cuts = keys.agg(F.percentile_approx(key, fractions, 20 * buckets)).first()[0] if fractions and n else None
-    cuts = sorted(set(cuts or []))
-    # cuts[i] opens bucket i + 1; BUCKET_BITS halvings find the bucket
-    table = _longs([-(2**63), *cuts]) if cuts else _longs([-(2**63)])
-    at = lambda lo, step: F.when(F.get(table, lo + step) <= F.col(key), lo + step).otherwise(lo)
-    halvings = _ints([1 << i for i in reversed(range(BUCKET_BITS))])
-    bucket = F.aggregate(halvings, F.lit(0), at)
-    heads = {r[0]: r[1] for r in keys.select(bucket.alias("b"), F.struct(F.col(key).alias("k"), F.col(tie).alias("t")).alias("head")).groupBy("b").agg(F.min("head")).collect()}
-    if not heads:
-        return df.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
-    present = sorted(heads)
-    before = {b: present[i - 1] for i, b in enumerate(present)}
-    size = present[-1] + 1
-    head_key = F.get(F.expr("array(" + ", ".join("cast(null as long)" if b not in heads or heads[b].k is None else f"({heads[b].k}L)" for b in range(size)) + ")"), F.col("__b"))
-    head_tie = F.get(_longs([heads[b].t if b in heads else 0 for b in range(size)]), F.col("__b"))
-    previous = F.get(_ints([before.get(b, 0) for b in range(size)]), F.col("__b"))
-    names = df.columns
-    row = df.withColumn("__b", bucket)
-    is_head = F.col(key).eqNullSafe(head_key) & (F.col(tie) == head_tie)
-    place = lambda b, ghost: F.struct(b.cast("int").alias("bucket"), F.lit(ghost).alias("ghost"))
-    places = F.when(is_head, F.array(place(F.col("__b"), False), place(previous, True))).otherwise(F.array(place(F.col("__b"), False)))
-    dealt = row.select(*names, F.explode(places).alias("__p"))
-    order = Window.partitionBy("__p.bucket").orderBy("__p.ghost", F.col(key).asc_nulls_first(), tie)
-    dealt = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
-    return dealt.where(~F.col("__p.ghost")).select(*names, *[f"next_{c}" for c in carried])
+    order = F.struct(*KEY, "n")
+    ranges = max(1, -(-keys.count() // KEYS_PER_RANGE))
+    placed = materialize(keys.repartitionByRange(ranges, *KEY).sortWithinPartitions(*KEY), "ordered").withColumn("file", F.input_file_name())
+    ends = placed.groupBy("file").agg(F.min(order).alias("head"), F.max(order).alias("tail"))
+    before = F.lag("tail").over(Window.orderBy("head"))
+    last = F.max("tail").over(Window.partitionBy(F.lit(0)))
+    ends = ends.select(F.col("file").alias("its_file"), F.coalesce(before, last).alias("tail_before"))
+    back = F.lag(order).over(Window.partitionBy("file").orderBy(*KEY))
+    rows = placed.withColumn("back", back).join(F.broadcast(ends), F.col("file") == F.col("its_file"))
+    prev = F.coalesce("back", "tail_before")
+    return rows.select(*keys.columns, *[prev[c].alias(f"prev_{c}") for c in (*KEY, "n")])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -140,25 +125,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edit replaces the last quarter (rounded down) of the code points by the
     first as many of the next document's, by ascending doc_id (null first, ties
-    by a hash of the text); after the last comes the first. A null text is
-    empty. A table of one row is its own next; an empty one gives no rows.
+    by a hash of the text); after the last comes the first. Rows of equal
+    doc_id and text are worked on once: each is followed by the next of them,
+    the last by the next document. A null text is empty. A table of one row is
+    its own next; an empty one gives no rows. Other columns are not looked at.
     """
-    tie = F.xxhash64("text")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keys = base.select("doc_id", tie.alias("tie"))
-    made = with_fingerprint(base, "text", "fp").withColumn("tie", tie)
-    near = with_next(made, "doc_id", "tie", ["text", "fp"], keys)
-    n = F.char_length("text")
-    cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    near = near.select("doc_id", "fp", "next_fp", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    named = base.select(F.col("doc_id").isNotNull().alias("given"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("tie"), F.xxhash64("text", F.lit(1)).alias("tie2"), "text")
+    keys = named.groupBy(*KEY).agg(F.first(F.char_length("text").cast("long")).alias("n"), F.count(F.lit(1)).alias("rows"))
+    keys = materialize(in_order(materialize(keys, "keys")), "neighbours")
+    held = with_fingerprint(named, "text", "fp").groupBy(*KEY).agg(F.first(F.struct("text", "fp")).alias("own"))
+    both = held.join(keys, list(KEY))
+    quarter = lambda n: F.floor(n / 4).cast("int")
+    start = lambda text, n: F.substring(text, F.lit(1), quarter(n))
+    after = both.select(*[F.col(f"prev_{c}").alias(c) for c in KEY], start(F.col("own.text"), F.col("prev_n")).alias("start"), F.col("own.fp").alias("next_fp"))
+    met = both.select(*KEY, "own", "n", "rows").join(after, list(KEY))
+    # what follows, and for how many of the equal rows
+    follows = F.array(
+        F.struct(F.lit(1).cast("long").alias("times"), "start", "next_fp"),
+        F.struct((F.col("rows") - 1).alias("times"), start(F.col("own.text"), F.col("n")).alias("start"), F.col("own.fp").alias("next_fp")),
+    )
+    met = met.select("given", "id", "n", "own", F.explode(F.filter(follows, lambda x: x.times > 0)).alias("next"))
+    edited = F.concat(F.substring(F.col("own.text"), F.lit(1), F.col("n").cast("int") - quarter(F.col("n"))), F.col("next.start"))
+    near = met.select("given", "id", F.col("own.fp").alias("fp"), "next", F.col("n").alias("n_chars"), edited.alias("edited"))
     near = with_fingerprint(near, "edited", "fe")
-    return near.select(
-        "doc_id",
+    done = near.select(
+        F.when(F.col("given"), F.col("id")).alias("doc_id"),
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("fe")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("fe")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("next.next_fp")).alias("near_next"),
+        F.col("next.times").alias("times"),
     )
+    # so many equal rows, in runs so that no array is long
+    runs = done.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / RUN))).alias("run"))
+    again = F.sequence(F.lit(1).cast("long"), F.least(F.lit(RUN).cast("long"), F.col("times") - F.col("run") * RUN))
+    return runs.select(*done.columns[:-1], F.explode(again).alias("copy")).drop("copy")

@@ -1,12 +1,15 @@
 import hashlib
 import random
+import re
 import statistics
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
 from hashlib import sha256
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quernel.llm import fingerprints, mixing, sharding
@@ -32,9 +35,10 @@ def edited(rows, spark):
         yield i, len(text), sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("per_bucket", [1, 3, 500])
-def test_edits(spark, odd, odd_rows, per_bucket, monkeypatch):
-    monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", per_bucket)
+@pytest.mark.parametrize("per_range", [1, 3, 500])
+def test_edits(spark, odd, odd_rows, per_range, monkeypatch):
+    monkeypatch.setattr(fingerprints, "KEYS_PER_RANGE", per_range)
+    monkeypatch.setattr(fingerprints, "RUN", per_range)
     got = fingerprints.fingerprints(odd)
     assert not any(p in plan_of(got) for p in PYTHON)
     rows = got.collect()
@@ -48,6 +52,43 @@ def test_no_rows_and_one(spark, none):
     assert one.near_next == 1.0 and one.near_edited <= 1.0
 
 
+def plain_fingerprint(text):
+    """One-permutation MinHash in plain Python: 128 least values by the top 7 bits of signed hashes, empty bins by their probes."""
+    words = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.split(r"[\x20\x09-\x0d]+", text) if w]
+    fold = lambda ws: reduce(lambda seed, w: xxhash.xxh64(w.to_bytes(8, "little"), seed=seed).intdigest(), ws, 42)
+    hashes = [fold(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [fold(words)] if words else []
+    bins = [None] * 128
+    for h in hashes:
+        at, value = (h >> 57) ^ 64, h & (1 << 57) - 1
+        bins[at] = value if bins[at] is None else min(bins[at], value)
+    filled = []
+    for i, value in enumerate(bins):
+        order = sorted((j for j in range(128) if j != i), key=lambda j: hashlib.blake2b(f"{i}:{j}".encode(), digest_size=8).digest())
+        filled.append(value if value is not None else next((bins[j] for j in order if bins[j] is not None), 0))
+    return "".join(f"{v & 15:x}" for v in filled)
+
+
+def plain_likeness(a, b):
+    return max(0.0, (sum(x == y for x, y in zip(a, b, strict=True)) / 128 - 1 / 16) / (15 / 16))
+
+
+def test_fingerprints_against_plain_python(spark, odd, odd_rows):
+    line = [(i, t or "") for i, t in ordered([(r[0], r[1]) for r in odd_rows], spark)]
+    want = []
+    for (i, text), (_, after) in zip(line, line[1:] + line[:1], strict=True):
+        cut = len(text) // 4
+        own, edit = plain_fingerprint(text), plain_fingerprint(text[: len(text) - cut] + after[:cut])
+        want.append((i, own, edit, round(plain_likeness(own, edit), 9), round(plain_likeness(own, plain_fingerprint(after)), 9)))
+    got = fingerprints.fingerprints(odd).collect()
+    assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == Counter(want)
+
+
+def test_many_equal_rows(spark):
+    rows = [(None, "the same words in every row of these")] * 40 + [(3, "other words are in this one row")]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(edited(rows, spark))
+
+
 def shingle_set(text):
     words = text.split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
@@ -195,6 +236,24 @@ def test_shards(spark, sf):
     assert Counter(map(tuple, sharding.sharded(docs.repartition(5)).collect())) == Counter(map(tuple, rows))
 
 
+@pytest.mark.parametrize("shards", [2, 24, 100])
+def test_splitters_against_sorting(spark, sf, shards):
+    """The bytes below each boundary, from the sorted rows, are within tolerance or one row, or one small group, of the even part."""
+    docs = documents(spark, sf)
+    shard = {r.doc_id: r.shard for r in sharding.sharded(docs, shards).collect()}
+    rows = sorted((xxhash.xxh64((r.text or "").encode(), seed=42).intdigest(), r.doc_id, len((r.text or "").encode()) + 8) for r in docs.select("doc_id", "text").collect())
+    part, below = sum(r[2] for r in rows) / shards, 0
+    group = Counter()
+    for h, _, size in rows:
+        group[h] += size
+    for (h, doc, size), (after_h, after, after_size) in zip(rows, rows[1:], strict=False):
+        below += size
+        assert shard[doc] <= shard[after]
+        for cut in range(shard[doc] + 1, shard[after] + 1):
+            near = max(sharding.TOLERANCE * part, size, after_size, *(g for g in (group[h], group[after_h]) if g <= sharding.WHOLE_GROUP * part))
+            assert abs(below - cut * part) <= near + 1
+
+
 def test_hot_group_is_split_and_small_groups_are_not(spark):
     rnd = random.Random(4)
     rows = [(i, "the same text over and over") for i in range(0, 2000, 2)]
