@@ -1,11 +1,7 @@
-"""What the operators share: the folder for intermediate tables, inputs, words."""
+"""What the operators share: inputs, bounded batches to Python, words."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -14,6 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from quernel.functions.scratch import forget, materialize
+
+__all__ = ["WordHashes", "batch_of", "bounded_batches", "documents", "forget", "materialize", "mix", "per_row", "rewritten", "slices", "slim"]
+
 #: Words are maximal runs of bytes other than these; bytes.split() cuts at just them.
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 1 << 20
@@ -27,52 +27,6 @@ SLICE_BYTES = 1 << 20
 SLICE_ROWS = 2000
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what spark.checkpoint.dir names, or the context's checkpoint folder.
-
-    Where neither is set, one process that is driver and executor at once (master local) gets a temporary folder
-    that goes with it; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and context._jsc.sc().getCheckpointDir().isDefined():
-        base = context._jsc.sc().getCheckpointDir().get()
-    if not base:
-        if not (context.master == "local" or context.master.startswith("local[")):
-            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
-        folder = tempfile.mkdtemp(prefix="quernel-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        base = f"file://{folder}"
-        context.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it: cuts lineage, survives executors.
-
-    The table goes when the application ends, or before by forget().
-    """
-    spark = df.sparkSession
-    folder = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    path, files = _hadoop(spark, folder)
-    files.deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
-def _hadoop(spark: SparkSession, folder: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing will read again."""
-    for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path, files = _hadoop(df.sparkSession, folder)
-            files.delete(path, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -14,15 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import WordHashes, batch_of, slim
+from quernel.llm.common import WordHashes, batch_of, bounded_batches, per_row, slices, slim
 
 WORD_BUCKETS = 1 << 17
 BINS = 16
 SHAPES = 6
 BUCKETS = WORD_BUCKETS + BINS * SHAPES
-#: At most about this many labelled documents, of at most so many bytes each, are fitted on; a hash of doc_id draws them.
+#: About this many labelled documents at most, whole, are fitted on; a hash of doc_id draws them.
 SAMPLE_DOCS = 20_000
-SAMPLE_BYTES = 1 << 16
 #: Word buckets keep weight 0 unless their documents' split between lower and top grade is off by this many standard deviations.
 LEAST_Z = 3.5
 LEAST_DOCS = 3
@@ -133,18 +132,24 @@ _FEATURES = pa.schema([("index", pa.list_(pa.int32())), ("value", pa.list_(pa.fl
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Ordinal:
-    """Fit on a bounded sample of labelled documents; features are made on executors."""
+    """Fit on a bounded sample of labelled documents; features are made on executors.
+
+    Labels that are null anywhere, or of no document, are passed over; without
+    any left, every score is that of the first thresholds. Rows of a repeated
+    doc_id are all fitted on.
+    """
+    bounded_batches(docs.sparkSession)
     grades = graded(labels)
     n = grades.count()
     share = min(1.0, sample_docs / n) if n else 0.0
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     drawn = F.broadcast(grades.where(draw < share))  # of about sample_docs rows
-    rows = slim(docs).where(F.octet_length("text") <= SAMPLE_BYTES).join(drawn, "doc_id").select("text", "grade", "doc_id")
+    rows = slim(docs).join(drawn, "doc_id").select("text", "grade", "doc_id")
 
     def featured(batches):
         hashes = WordHashes()
-        for batch in batches:
-            made = [(*features(t, hashes), g) for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        for part in (p for batch in batches for p in slices(batch)):
+            made = [(*features(t, hashes), g) for t, g in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
             yield batch_of(_FEATURES, made)
 
     table = rows.select("text", "grade").mapInArrow(featured, "index array<int>, value array<float>, grade int").toArrow()
@@ -165,23 +170,25 @@ def score(docs: DataFrame, model: Ordinal, keep_grade: int = KEEP_GRADE, keep_pr
     """Expected grade, P(grade >= keep_grade) and the selection, for every whole text.
 
     A null, empty or wordless text has no features: its probabilities are those
-    of score 0 and it isn't kept. Null doc_ids and repeated rows pass through.
+    of score 0 and it isn't kept. Null doc_ids and repeated rows pass through;
+    an empty table gives no rows. Other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = features(text, hashes)
-                tails = shared.value.tails(made)
-                tail = float(tails[keep_grade - 1])
-                rows.append((doc_id, float(tails.sum()), tail, bool(len(made[0])) and tail >= keep_probability))
-            yield batch_of(_SCORED, rows)
+    def start():
+        hashes, fitted = WordHashes(), shared.value
+
+        def of(doc_id, text):
+            made = features(text, hashes)
+            tails = fitted.tails(made)
+            tail = float(tails[keep_grade - 1])
+            return doc_id, float(tails.sum()), tail, bool(len(made[0])) and tail >= keep_probability
+
+        return of
 
-    return slim(docs).mapInArrow(run, SCORED_SCHEMA)
+    return per_row(slim(docs), start, _SCORED, SCORED_SCHEMA)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Train on what is labelled, score all; train and score say how nulls, repeats and empty tables go."""
     return score(docs, train(docs, labels))

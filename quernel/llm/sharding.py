@@ -21,6 +21,8 @@ TOLERANCE = 0.001
 #: A group of equal texts of up to this share of a shard's part isn't split.
 WHOLE_GROUP = 0.05
 STEP_BITS = 12
+#: Text of a file that write_shards writes.
+FILE_BYTES = 256 << 20
 #: Rows of a shard are numbered in so many sub-buckets, each in a task of its own if need be.
 SUB_BUCKETS = 64
 TOP = 1 << 63
@@ -157,12 +159,17 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, writers: int = 8) -> None:
-    """docs as Parquet under path/shard=<n>/, in shards of near equal bytes and several files each."""
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, file_bytes: int = FILE_BYTES) -> None:
+    """docs as Parquet under path/shard=<n>/, in shards of near equal bytes and files of about `file_bytes` of text.
+
+    Null ids and texts, repeated rows and empty tables are as in sharded().
+    Other columns pass through, but for one named shard, which can't be there.
+    """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     doc = F.coalesce("doc_id", F.lit(-TOP)).bitwiseXOR(F.lit(-TOP))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     keys = materialize(slim(docs).select(key.alias("key_hash"), doc.alias("key_doc"), size.alias("size")), "keys")
+    writers = max(1, -(-(keys.agg(F.sum("size")).first()[0] or 0) // (shards * file_bytes)))
     row = docs.select(F.struct("*").alias("row"), key.alias("key_hash"), doc.alias("key_doc"))
-    row = row.select("row", shard_of(splitters(keys, shards)).alias("shard"), F.pmod(F.xxhash64("key_doc"), F.lit(writers)).alias("writer"))
-    row.repartition("shard", "writer").select("row.*", "shard").write.partitionBy("shard").parquet(path)
+    row = row.select("row", shard_of(splitters(keys, shards)).alias("shard"), F.pmod(F.xxhash64("key_doc", "key_hash"), F.lit(writers)).alias("writer"))
+    row.repartition(shards * writers, "shard", "writer").select("row.*", "shard").write.partitionBy("shard").parquet(path)

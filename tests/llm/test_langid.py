@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -74,3 +77,38 @@ def test_other_languages_and_letter_noise_go(spark, sf):
     assert [r.doc_id for r in kept.where("doc_id < 0").collect()] == []
     assert kept.count() == docs.count()  # short ones too
     assert docs.where("length(text) < 200").count() > 20
+
+
+def plain_grams(text):
+    """Three characters in a row of each word with a blank on either side, joined over the blanks between words."""
+    line = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower())).strip() + " "
+    return [line[i : i + 3] for i in range(len(line) - 2) if line[i + 1] != " "]
+
+
+def test_decisions_against_exact_sets(spark, monkeypatch):
+    """Sets of n-grams instead of the filter: the same languages, and shares that differ by the filter's chance only."""
+    docs = documents(spark, "/root/testdata/sf0.01")
+    kept = {}
+    build = langid.Filter.build
+    monkeypatch.setattr(langid.Filter, "build", staticmethod(lambda members: kept.update(members) or build(members)))
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    name = lambda code: "".join(chr(code >> shift & 0x1FFFFF) for shift in (42, 21, 0))
+    exact = {lang: {name(int(c)) for c in codes} for lang, codes in kept.items()}
+    assert len(exact) == 4
+    for r in docs.limit(400).collect():
+        grams = plain_grams(r.text)
+        got, score, cover = model.decide(r.text)
+        if not grams:
+            assert got == "und"
+            continue
+        hits = {lang: sum(g in own for g in grams) for lang, own in sorted(exact.items())}
+        best = max(hits, key=hits.get)
+        assert got == best and abs(cover - hits[best] / len(grams)) < 0.03 and abs(score - hits[best] / sum(hits.values())) < 0.05
+
+
+def test_long_texts_have_the_same_n_grams(monkeypatch):
+    text = "Einige W\u00f6rter, und noch mehr davon;\n dann 12 und\tEnde" * 30
+    whole = Counter(langid.codes(text).tolist())
+    for chunk in (5, 64, 999):
+        monkeypatch.setattr(langid, "CHUNK_CHARS", chunk)
+        assert sum((Counter(c.tolist()) for c in langid.ngrams(text)), Counter()) == whole

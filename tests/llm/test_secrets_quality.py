@@ -1,9 +1,10 @@
 import base64
 import json
+import math
 import re
 import time
 from collections import Counter
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pytest
@@ -186,6 +187,50 @@ def test_quality_on_held_out_labels(spark):
     assert clean.expected_grade.mean() > 1.8 > toxic.expected_grade.mean()
 
 
+def plain_features(text):
+    """{bucket: value} word by word."""
+    data = (text or "").encode()
+    words = re.split(rb"[\x20\x09-\x0d]+", bytes(32 if chr(b) in "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~" else b for b in data).lower())
+    words = [w for w in words if w]
+    if not words:
+        return {}
+    counts = Counter(int.from_bytes(blake2b(w, digest_size=8).digest(), "little") % quality.WORD_BUCKETS for w in words)
+    n, made = len(words), {b: 1 + math.log(c) for b, c in counts.items()}
+    symbols = sum(chr(b) in "#$%&*+<=>@\\^_`{}~" for b in data)
+    shapes = [4 * sum(65 <= b <= 90 for b in data) / len(data), symbols / n / 2, 2 * data.count(b"|") / n, 2 * data.count(b"!") / n, len(counts) / n, math.log(n + 1) / 12]
+    for i, x in enumerate(shapes):
+        made[quality.WORD_BUCKETS + i * quality.BINS + min(quality.BINS - 1, int(min(max(x, 0), 1) * quality.BINS))] = 1.0
+    return made
+
+
+def test_scores_against_plain_python(spark, odd_rows):
+    """Sums over words, one at a time, of a fitted model's weights; and the fit leaves no slope in its thresholds."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    some = docs.where("doc_id % 5 = 0")
+    texts = dict(some.select("doc_id", "text").collect()) | {-1 - i: t for i, (_, t, *_) in enumerate(odd_rows)}
+    near = 0.0
+    for r in quality.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect():
+        made = plain_features(texts[r.doc_id])
+        score = sum(model.weights[b] * v for b, v in made.items())
+        tails = [1 / (1 + math.exp(min(35, max(-35, t - score)))) for t in model.thresholds]
+        near = max(near, abs(sum(tails) - r.expected_grade), abs(tails[1] - r.tail_probability))
+        assert r.kept == (bool(made) and r.tail_probability >= 0.5)
+    assert near < 1e-3
+    grades = {r.doc_id: r.grade for r in quality.graded(labels).collect()}
+    rows = [(r.text, grades[r.doc_id]) for r in docs.collect() if r.doc_id in grades]
+    scores = [sum(model.weights[b] * v for b, v in plain_features(t).items()) for t, _ in rows]
+
+    def loss(cuts):
+        tail = lambda k, x: 1.0 if k == 0 else 0.0 if k == 3 else 1 / (1 + math.exp(min(35, max(-35, cuts[k - 1] - x))))
+        return -sum(math.log(max(1e-12, tail(g, x) - tail(g + 1, x))) for x, (_, g) in zip(scores, rows, strict=True)) / len(rows)
+
+    for i in (0, 1):
+        moved = [model.thresholds + np.eye(2)[i] * step for step in (-1.0, 1.0)]
+        assert all(loss(model.thresholds) < loss(m) for m in moved)
+
+
 def test_quality_odd(odd, none, spark, odd_rows):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1), (None, 1, 0), (9, None, 1), (10, 0, 1)], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.grade for r in quality.graded(labels).collect()} == {1: 1, 2: 1, 10: 0}
