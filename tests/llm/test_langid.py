@@ -53,11 +53,6 @@ def test_odd_rows(odd, none, odd_rows):
     assert kept.columns == odd.columns and kept.where("text is null or trim(text) = ''").count() == 0
 
 
-def test_rejects_only_what_no_language_holds(spark, sf):
-    docs = documents(spark, sf)
-    assert langid.keep_known(docs).count() == docs.count()
-
-
 OTHERS = {
     "dutch": "De kinderen liepen gisteren door het oude dorp en kochten op de markt verse groente, brood en kaas voor het avondeten.",
     "polish": "Wczoraj dzieci szły przez starą wieś i kupiły na targu świeże warzywa, chleb i ser na kolację.",
