@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before kept. run() writes each stage's rows as Parquet in the shared folder
 and reads them again as the next one's.
+
+Null and empty texts go with the language stage. Rows of a null doc_id are kept
+apart by their texts; of repeated rows one is left by the near-duplicate stage,
+and mixing repeats rows anew. Other columns pass through all stages but the
+last. An empty table stays empty.
 """
 
 from __future__ import annotations
