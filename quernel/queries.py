@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from quernel.engine import Engine
 from quernel.functions.scratch import new_folder
 from quernel.operators.relational import checksum, counted_filter, counted_join, equi_join, filter_scan, group_count, residual_equality, scan
-from quernel.sources.catalog import Catalog, testdata_catalog
+from quernel.plans.textql import parse, to_text
+from quernel.sources.catalog import TESTDATA_RELATIONS, Catalog, testdata_catalog
 from quernel.sources.colrel import read_colrel, write_colrel
-from quernel.sources.tables import read_tbl, synthetic, write_tbl
+from quernel.sources.tables import ddl, export_all, read_tbl, synthetic, write_tbl
+from quernel.streaming.batches import FLUSH, LOADED, serve
+from quernel.to_sql import translate
 
 #: name: (text query, FROM, conditions, summed columns)
 TEXT_QUERIES: dict[str, tuple[str, str, str, list[str]]] = {
@@ -110,6 +113,60 @@ def _tbl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tbl(spark, path, 2)
 
 
+def _lines(spark: SparkSession, lines: list[str]) -> DataFrame:
+    """A few lines of text, numbered."""
+    return spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "query_no bigint, line string")
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of one relation from both files of its export."""
+    binary, text, _ = export_all(_table(spark, sf_dir, 1), new_folder(spark, "export"), 0)
+    return read_colrel(spark, binary).withColumn("form", F.lit("binary")).unionAll(read_tbl(spark, text, 2).withColumn("form", F.lit("text")))
+
+
+def _protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the line protocol answers: two relations by path, one batch that is flushed and one that the end of input closes."""
+    folder = new_folder(spark, "protocol")
+    paths = [export_all(_table(spark, sf_dir, rel), folder, i)[i] for i, rel in enumerate((2, 3))]  # one binary, one text
+    asked = ["0 1|0.1=1.1|0.0 1.0", "0 1|0.1=1.1&0.0<1|0.0", FLUSH, "0 0|0.1=1.1|0.0 1.0"]
+    return _lines(spark, list(serve(Engine(spark), [*paths, LOADED, *asked])))
+
+
+PROTOCOL_SQL = f"""{_line_sql("q_mn", 0)}
+UNION ALL SELECT 1, 'NULL'
+UNION ALL {_line_sql("q_self", 2)}"""
+
+
+def _empty_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join with a relation of no rows, whose statistics are empty too."""
+    catalog = Catalog(spark)
+    catalog.add(_table(spark, sf_dir, 2))
+    catalog.add(synthetic(spark, 0, 3))
+    return Engine(spark, catalog, numeric="bigint").query("0 1|0.0=1.0|0.1 1.2")
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every relation as the statistics phase counts them."""
+    catalog = testdata_catalog(spark, sf_dir)
+    catalog.analyze()
+    return spark.createDataFrame([(rel, catalog.statistics(rel).rows) for rel in range(len(catalog))], "rel bigint, n bigint")
+
+
+def _duplication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per different value; of relations this small the sample has all rows."""
+    catalog = testdata_catalog(spark, sf_dir)
+    asked = [(5, 0), (5, 1), (6, 0)]
+    return spark.createDataFrame([(rel, col, catalog.duplication(rel, [col])) for rel, col in asked], "rel bigint, col bigint, duplication double")
+
+
+def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an engine counts over a batch that it runs to the end."""
+    engine = Engine(spark, testdata_catalog(spark, sf_dir))
+    engine.run([TEXT_QUERIES[q][0] for q in BATCH])
+    told = engine.counters.taken()
+    return spark.createDataFrame([(name, told.get(name, 0)) for name in ("queries", "scans", "joins", "results", "null_results")], "counter string, n bigint")
+
+
 def _counted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = group_count(_table(spark, sf_dir, 2).select("c1"), ["c1"])
     right = group_count(_table(spark, sf_dir, 3).select(F.col("c1").alias("d1")), ["d1"])
@@ -141,6 +198,15 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "op_tbl_roundtrip": (_tbl, "SELECT CAST(c_custkey AS BIGINT) AS c0, CAST(c_nationkey AS BIGINT) AS c1 FROM customer"),
     "op_colrel_unsigned": (_unsigned, "SELECT CAST(SUM(CAST(n_nationkey AS HUGEINT) + 9223372036854775808) AS DECIMAL(38,0)) AS s0, CAST(SUM(r_regionkey) AS DECIMAL(38,0)) AS s1, CAST(SUM(CAST(n_regionkey AS HUGEINT) + 9223372036854775808) AS DECIMAL(38,0)) AS s2 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 3"),
     "q_wide_sum": (_wide_sum, "SELECT CAST(SUM(CAST(c_custkey AS HUGEINT) + 4611686018427387904) AS DECIMAL(38,0)) AS s0, CAST(SUM(CAST(s_suppkey AS HUGEINT) + 4611686018427387904) AS DECIMAL(38,0)) AS s1 FROM customer JOIN supplier ON c_nationkey = s_nationkey"),
+    "q_empty_relation": (_empty_relation, "SELECT CAST(NULL AS BIGINT) AS s0, CAST(NULL AS BIGINT) AS s1"),
+    "op_export_all": (_exported, "SELECT CAST(o_orderkey AS BIGINT) AS c0, CAST(o_custkey AS BIGINT) AS c1, form FROM orders, (VALUES ('binary'), ('text')) f(form)"),
+    "op_protocol": (_protocol, PROTOCOL_SQL),
+    "op_ddl": (lambda s, d: _lines(s, [ddl(len(_table(s, d, rel).columns), rel) for rel in (1, 6)]), "SELECT CAST(0 AS BIGINT) AS query_no, 'CREATE TABLE r1 (c0 bigint,c1 bigint);' || chr(10) || 'copy r1 from ''r1.tbl'' delimiter ''|'';' || chr(10) AS line UNION ALL SELECT 1, 'CREATE TABLE r6 (c0 bigint);' || chr(10) || 'copy r6 from ''r6.tbl'' delimiter ''|'';' || chr(10)"),
+    "op_query_text": (lambda s, d: _lines(s, [to_text(parse(q)) for q, *_ in TEXT_QUERIES.values()]), " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS query_no, '{q}' AS line" for i, (q, *_) in enumerate(TEXT_QUERIES.values()))),
+    "op_to_sql": (lambda s, d: _lines(s, list(translate(["2 3|0.1=1.1|0.0 1.0", FLUSH, "1|0.1<50|0.0"]))), """SELECT CAST(0 AS BIGINT) AS query_no, 'SELECT SUM("0".c0), SUM("1".c0) FROM r2 "0", r3 "1" WHERE "0".c1 = "1".c1;' AS line UNION ALL SELECT 1, '' UNION ALL SELECT 2, 'SELECT SUM("0".c0) FROM r1 "0" WHERE "0".c1 < 50;'"""),
+    "op_statistics": (_statistics, " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS rel, COUNT(*) AS n FROM {table}" for i, table in enumerate(TESTDATA_RELATIONS))),
+    "op_duplication": (_duplication, " UNION ALL ".join(f"SELECT CAST({rel} AS BIGINT) AS rel, CAST({col} AS BIGINT) AS col, COUNT(*) / CAST(COUNT(DISTINCT {name}) AS DOUBLE) AS duplication FROM {table}" for rel, col, table, name in ((5, 0, "nation", "n_nationkey"), (5, 1, "nation", "n_regionkey"), (6, 0, "region", "r_regionkey")))),
+    "op_counters": (_counters, "SELECT * FROM (VALUES ('queries', CAST(4 AS BIGINT)), ('scans', 9), ('joins', 5), ('results', 4), ('null_results', 1)) c(counter, n)"),
     "op_generated_sql": (lambda s, d: Engine(s, testdata_catalog(s, d)).sql(TEXT_QUERIES["q_cycle"][0]).select(F.col("s0").cast("bigint"), F.col("s1").cast("bigint")), _sum_sql("q_cycle")),
 }
 
