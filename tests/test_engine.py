@@ -229,3 +229,20 @@ def test_joins_by_key_agree_with_nested_loops(spark):
     for text in ("0 0|0.0=1.0|0.1 1.1 0.0", "0 0|0.0=1.0&1.1>4|0.1 1.1 1.1", "0 0|0.0=1.0&0.1=1.1|1.1 0.0", "0 0|0.0=1.0&0.0=1.1|0.1", "0 0|0.0=1.0&0.1>100|0.1"):
         plain, *others = [tuple(Engine(spark, catalog, mode, numeric).query(text).first()) for mode, numeric in (("off", "bigint"), ("on", "bigint"), ("auto", "bigint"), ("on", "exact"))]
         assert all(o == plain for o in others), text
+
+
+@pytest.mark.parametrize("name", ["q_empty_relation", "op_protocol", "op_ddl", "op_query_text", "op_to_sql", "op_statistics", "op_duplication", "op_counters"])
+def test_queries_of_tools_agree_with_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from quernel.queries import oracle_sql, queries
+
+    small = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for file in os.listdir(small):
+        db.sql(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{small}/{file}'")
+    got, want = queries()[name](spark, small), db.sql(oracle_sql()[name])
+    assert got.columns == want.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
